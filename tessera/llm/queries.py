@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, ranking, vectors
+from tessera.llm import encode, leakage, ranking, truncation, vectors
 from tessera.sources.tables import table
 
 
@@ -29,6 +29,27 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold evaluation passages, and the items they leak."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them, and of those that hold the answer too."""
+    rows = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return rows.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if("answer_too").alias("n_with_answer"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut documents of every source."""
+    return truncation.share_by_source(table(spark, d, "documents"), F.col("source"))
+
+
 _FUSED = """
 WITH b AS (
   SELECT query_id, list_name, item_id, max(CASE WHEN list_name = 'distance' THEN -score ELSE score END) AS s
@@ -47,4 +68,4 @@ SQL = {
     "p5_closeness": _FUSED + "SELECT query_id, item_id, round(closeness, 6) AS closeness FROM c",
 }
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_closeness, p8_ids)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_closeness, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
