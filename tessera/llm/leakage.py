@@ -23,7 +23,7 @@ from tessera.llm.words import words
 #: Words of a window and between windows: any WINDOW - STRIDE words in a row lie whole in one window.
 WINDOW, STRIDE = 32, 16
 #: Directions kept, extra ones for accuracy; weight of single words beside pairs; least cosine of a candidate.
-RANK, OVERSAMPLE, SINGLE, COSINE = 224, 64, 0.5, 0.12
+RANK, OVERSAMPLE, SINGLE, COSINE = 128, 32, 0.5, 0.09
 #: Known word pairs that a window needs: a window with a case has more, as RUN words in a row have RUN - 1 and each edit takes two.
 LEAST_PAIRS = 5
 #: What counts: words in a row; or words of a stretch, of which at most one in EDIT_EVERY is edited.
@@ -69,6 +69,8 @@ class Space:
 
     def candidates(self, docs: list[list[str]]) -> list[tuple[int, int]]:
         """Sorted (position of the document, position of the item) where a window of the document reaches the cosine with one of the passage."""
+        if self.basis.dtype != np.float32:
+            self.basis = self.basis.astype(np.float32)
         # each document begins a new block of STRIDE words
         room = np.array([-(-len(w) // STRIDE) * STRIDE for w in docs], np.int64)
         begin = np.cumsum(room) - room
@@ -132,16 +134,22 @@ def _row(w: list[str], ids: dict, pairs: np.ndarray, weight: np.ndarray) -> tupl
     return u, (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32)
 
 
-def _sums(ids: dict, pairs: np.ndarray, weight: np.ndarray, right: np.ndarray):
-    """Rows A of the given window texts -> their part of A'A right, as (block, bytes)."""
+def _omega(n: int, k: int, seed: int) -> np.ndarray:
+    """The seeded random matrix, the same in every process."""
+    return np.random.default_rng(seed).standard_normal(size=(n, k), dtype=np.float32)
+
+
+def _sums(ids: dict, pairs: np.ndarray, weight: np.ndarray, k: int, seed: int, packed: np.ndarray | None):
+    """Rows A of the given window texts -> their part of A'A times the random matrix, or the ``packed`` one, as (block, bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        right, total = None, None
         for batch in batches:
             for w in batch["w"]:
-                t, v = _row(list(w), ids, pairs, weight)
-                if total is None:
+                if right is None:
+                    right = _omega(len(weight), k, seed) if packed is None else packed.astype(np.float32)
                     total = np.zeros_like(right)
+                t, v = _row(list(w), ids, pairs, weight)
                 total[t] += v[:, None] * (v @ right[t])[None, :]
         if total is not None:
             yield pd.DataFrame({"block": np.arange(0, len(total), 4096, dtype=np.int32), "m": [total[i : i + 4096].tobytes() for i in range(0, len(total), 4096)]})
@@ -165,19 +173,21 @@ def fit(items: DataFrame, item_id: str = "item_id", passage: str = "passage", an
     ids, pairs, weight = _vocabulary(texts)
     windows = [(k, w[s : s + WINDOW]) for k, w in enumerate(texts) for s in _starts(len(w))]
     n_terms, rank = len(weight), min(RANK, max(1, len(windows)))
-    right = np.random.default_rng(seed).normal(size=(n_terms, min(rank + OVERSAMPLE, max(1, len(windows))))).astype(np.float32)
-    df = spark.createDataFrame([(w,) for _, w in windows] or [([],)], "w array<string>").repartition(max(1, min(64, len(windows) // 500)))
-    for _ in range(2):
-        parts = df.mapInPandas(_sums(ids, pairs, weight, right), "block int, m binary").groupBy("block").applyInPandas(_add, "block int, m binary").collect()
+    k = min(rank + OVERSAMPLE, max(1, len(windows)))
+    right = _omega(n_terms, k, seed)
+    df = spark.createDataFrame([(w,) for _, w in windows] or [([],)], "w array<string>").repartition(max(1, min(64, len(windows) // 4000)))
+    for packed in (None, True):
+        packed = None if packed is None else right.astype(np.float16)
+        parts = df.mapInPandas(_sums(ids, pairs, weight, k, seed, packed), "block int, m binary").groupBy("block").applyInPandas(_add, "block int, m binary").collect()
         if not parts:
             break
-        image = np.concatenate([np.frombuffer(p["m"], np.float32).reshape(-1, right.shape[1]) for p in sorted(parts, key=lambda p: p["block"])])
+        image = np.concatenate([np.frombuffer(p["m"], np.float32).reshape(-1, k) for p in sorted(parts, key=lambda p: p["block"])])
         right = np.linalg.qr(image)[0].astype(np.float32)
     image_rows = [_row(w, ids, pairs, weight) for _, w in windows]
     a = np.stack([v @ right[t] for t, v in image_rows]) if windows else np.zeros((0, right.shape[1]), np.float32)
     # turn the basis to the singular directions and keep the first
     _, _, turn = np.linalg.svd(a, full_matrices=False) if len(a) else (None, None, np.eye(right.shape[1], dtype=np.float32))
-    basis = (right @ turn[:rank].T).astype(np.float32)
+    basis = (right @ turn[:rank].T).astype(np.float16)  # half the size to send; workers widen it
     latent = a @ turn[:rank].T
     latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     n, top = len(ids), float(np.log(1 + max(1, len(texts))))
@@ -265,7 +275,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     Null and empty texts hold nothing; answer_too is false for an item without answer. Repeated rows of a document give one row per item.
     """
-    space = items.sparkSession.sparkContext.broadcast(fit(items))
+    space = items.sparkSession.sparkContext.broadcast(fit(items))  # of the size of the held-out set, which is checked
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = space.value
