@@ -69,6 +69,8 @@ class Space:
 
     def candidates(self, docs: list[list[str]]) -> list[tuple[int, int]]:
         """Sorted (position of the document, position of the item) where a window of the document reaches the cosine with one of the passage."""
+        if not self.ids:
+            return []
         if self.basis.dtype != np.float32:
             self.basis = self.basis.astype(np.float32)
         # each document begins a new block of STRIDE words

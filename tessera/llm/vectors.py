@@ -129,6 +129,8 @@ def scan(u: np.ndarray, ids: np.ndarray, home: np.ndarray, k: int) -> tuple[np.n
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
     a, b = (order[np.concatenate(x)] for x in zip(*found))
+    if not len(a):
+        return a, b, np.zeros(0)
     sim = np.concatenate([np.round(np.einsum("ij,ij->i", u[a[i : i + 65536]], u[b[i : i + 65536]]), 9) for i in range(0, len(a), 65536)])
     by = np.lexsort((ids[b], -sim, a))
     a, b, sim = a[by], b[by], sim[by]
