@@ -48,17 +48,18 @@ def bm25(docs: DataFrame, text: Column, doc_id: str, query: str) -> DataFrame:
     One narrow pass finds the query's terms in each document; only their counts are aggregated. No document or no term: no rows.
     """
     q = query_terms(query)
-    t = terms(text)
+    if not q:
+        return docs.select(F.col(doc_id).alias("id"), F.lit(0.0).alias("score")).where("false")
 
-    def times(w: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == w))
+    def counted(some: DataFrame) -> DataFrame:
+        rows = some.select(F.col(doc_id).alias("id"), F.coalesce(terms(text), F.array().cast("array<string>")).alias("t"))
+        return rows.select("id", F.size("t").alias("dl"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(q)))
 
-    tf = [times(w).alias(f"tf{i}") for i, w in enumerate(q)]
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(t, F.array().cast("array<string>")).alias("t")).select("id", F.size("t").alias("dl"), *tf)
-    if not q:
-        return rows.select("id", F.lit(0.0).alias("score")).where("false")
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
-    scored = rows.where(sum((F.col(f"tf{i}") for i in range(len(q))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of totals
+    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
+    # a filter on the text, not on the counts: that one would be pushed below them and repeat them
+    part = r"[\p{L}\p{M}\p{N}]"
+    hits = docs.where(F.lower(text).rlike(f"(?<!{part})(?:{'|'.join(q)})(?!{part})"))
+    scored = counted(hits).crossJoin(F.broadcast(stats))  # one row of totals
     parts = []
     for i in range(len(q)):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
