@@ -141,6 +141,30 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), it).count() == 0 and leakage.leaks(d, it.limit(0)).count() == 0
 
 
+def test_leaks_of_the_shortest_cases(spark):
+    rng = random.Random(16)
+    common = [f"c{i}" for i in range(150)]
+    passages = [[rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(4000)}" for _ in range(90)] for _ in range(400)]
+    docs, want = [], set()
+    other = lambda n: [rng.choice(common) if rng.random() < 0.4 else f"x{rng.randrange(9**6)}" for _ in range(n)]
+    for i in range(1200):
+        k = rng.randrange(len(passages))
+        n = 12 + i % 5
+        at = rng.randrange(90 - n)
+        docs.append((i, " ".join(other(40 + rng.randrange(30)) + passages[k][at : at + n] + other(60))))
+        want.add((i, k))
+    for i in range(1200, 1400):  # 30 words, three edits
+        k, at = rng.randrange(len(passages)), rng.randrange(60)
+        piece: list = passages[k][at : at + 30]
+        for j in (7, 15, 23):
+            piece[j] = rng.choice((None, "changed", f"{piece[j]} added"))
+        docs.append((i, " ".join(other(40 + rng.randrange(30)) + [x for x in piece if x] + other(60))))
+        want.add((i, k))
+    it = spark.createDataFrame([(k, " ".join(p), None) for k, p in enumerate(passages)], "item_id long, passage string, answer string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    assert not want - got
+
+
 WHOLE = [
     None, "", " \n", "TODO", "👍", "A sentence. And another one!", "It ends so 🙂", "A sentence.\n\n---\n", "Text here is fine.\n-- name-one", "All is well.\n\nOwner: someone",
     "Things:\n- took the red box\n- lost the old key\n- found the new box", '[{"a": "b c"}, {"d": 1}]', "function f() {\n  if (x > 1) y(); // note\n}", "Done here....", "He said “it works, it doesn’t”.",
