@@ -1,8 +1,8 @@
 """Texts that lost their end: near-copies that go on, and ends that no whole text has.
 
 Texts are reduced to what their end and their likeness need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
-found by banded min-hashes over shingles of five words; in each bucket the texts with a doubtful end meet the longest one, not each other, so a bucket of
-any size gives as many pairs as it has rows. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
+found by banded min-hashes over shingles of five words; each text with a doubtful end meets the next longer ones of its buckets, some in each round, until a
+longer copy gives a verdict or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
 inside a sentence or line of the other is cut. Texts without such a copy are judged by their last line: its form (prose, list, log, JSON, code, sign-off)
 and the terminality of its closing words: the share of all their occurrences in the corpus that end a sentence or line.
 """
@@ -26,6 +26,8 @@ from tessera.session import written
 
 #: Words of a shingle, least similarity of near-copies, bands and rows of a band (a pair at 0.8 is missed once in 500).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
+#: Longer texts of a bucket that a text meets in the first round; each later round takes four times as many, up to the last.
+NEXT, NEXT_MOST = 4, 256
 #: Below this share of closing occurrences in list items a word doesn't end one.
 CLOSES = 0.05
 #: Words before a mark like "..." are a phrase of its own if so many texts end so and no more sentences begin so and go on.
@@ -276,18 +278,43 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, t in zip(batch["doc_id"], batch["text"]):
             kind, key = judge(t)
             w = words(t)
-            out.append((d, kind, key, len(t or ""), bands(w) if len(w) >= 2 * SHINGLE else []))
-        yield pd.DataFrame(out, columns=["doc_id", "kind", "key", "size", "bands"])
+            out.append((d, kind, key, len(t or ""), len(shingle_hashes(w)), bands(w) if len(w) >= 2 * SHINGLE else []))
+        yield pd.DataFrame(out, columns=["doc_id", "kind", "key", "size", "shingles", "bands"])
 
 
 def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, verdict (1 cut, -1 whole) of class representatives with a doubtful end that have a verified longer near-copy."""
-    rows = profiles.select("doc_id", "size", F.col("kind").isin("cut", "mark", "list", "number").alias("doubt"), F.posexplode("bands").alias("band", "h"))
-    # a bucket's longest text; buckets of one text or without doubt fall away before any text is read
-    buckets = rows.groupBy("band", "h").agg(F.max(F.struct("size", "doc_id")).alias("top"), F.count("*").alias("n"), F.count_if("doubt").alias("d")).where("n > 1 and d > 0")
-    pairs = rows.where("doubt").join(buckets.select("band", "h", "top"), ["band", "h"]).where("top.doc_id <> doc_id and top.size > size and size >= 0.7 * top.size")
-    pairs = written(pairs.select("doc_id", F.col("top.doc_id").alias("long_id")).distinct(), "pairs")
-    longs = pairs.groupBy("long_id").agg(F.collect_set("doc_id").alias("shorts"))  # of a class's doubtful members, ids only
+    spark = profiles.sparkSession
+    rows = profiles.select("doc_id", "size", "shingles", F.col("kind").isin("cut", "mark", "list", "number").alias("doubt"), F.posexplode("bands").alias("band", "h"))
+    # buckets of one text or without doubt fall away before any text is read
+    buckets = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.count_if("doubt").alias("d")).where("n > 1 and d > 0")
+    order = ["band", "h", "size", "doc_id"]  # a large bucket spreads over partitions
+    rows = rows.join(buckets.select("band", "h"), ["band", "h"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id()), "buckets")
+    counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())  # a row per partition
+    begin = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    begin = spark.createDataFrame(begin, "part long, begin long")
+    rows = rows.withColumn("part", F.shiftright("_at", 33)).join(F.broadcast(begin), "part").withColumn("place", F.col("begin") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
+    rows = written(rows.select("doc_id", "size", "shingles", "doubt", "band", "h", "place"), "places")
+    longer = rows.select("band", "h", F.col("place").alias("at"), F.col("doc_id").alias("long_id"), F.col("size").alias("long_size"), F.col("shingles").alias("long_shingles"))
+    asking, found, step, wide = rows.where("doubt").drop("doubt"), None, 1, NEXT
+    while True:
+        asked = asking.withColumn("at", F.explode(F.sequence(F.col("place") + step, F.col("place") + step + wide - 1)))
+        met = written(asked.join(longer, ["band", "h", "at"]), "met")
+        able = F.least("shingles", "long_shingles") >= SIMILAR * F.greatest("shingles", "long_shingles")
+        pairs = met.where(able & (F.col("long_size") > F.col("size"))).select("doc_id", "long_id").distinct()
+        judged = written(_verdicts(written(pairs, "pairs"), texts), "verdicts")
+        found = judged if found is None else found.unionByName(judged)
+        more = met.where(F.col("at") == F.col("place") + step + wide - 1).select("place")
+        asking = written(asking.join(more, "place", "left_semi").join(judged, "doc_id", "left_anti"), "asking")
+        if asking.isEmpty():
+            return found
+        step, wide = step + wide, min(4 * wide, NEXT_MOST)
+
+
+def _verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, verdict of the pairs (doc_id, long_id) that are verified."""
+    longs = pairs.groupBy("long_id").agg(F.collect_set("doc_id").alias("shorts"))  # of the texts just below it, ids only
     with_long = lookup(texts.select(F.col("doc_id").alias("long_id"), F.col("text").alias("long")), longs, "long_id").where("shorts is not null")
     with_long = with_long.select(F.explode("shorts").alias("doc_id"), "long")
     shorts = lookup(texts, pairs.select("doc_id").distinct().withColumn("asked", F.lit(True)), "doc_id").where("asked").select("doc_id", "text")
@@ -310,7 +337,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     classes = keyed.groupBy("doc_id").agg(F.max("h").alias("h"))
     heads = classes.groupBy("h").agg(F.min("doc_id").alias("head"))
     heads = written(heads, "classes")
-    profiles = written(rows.mapInPandas(_profile, "doc_id long, kind string, key string, size int, bands array<long>"), "profiles")
+    profiles = written(rows.mapInPandas(_profile, "doc_id long, kind string, key string, size int, shingles int, bands array<long>"), "profiles")
     # representatives only: a row's own id is its class's
     own = profiles.join(heads.select(F.col("head").alias("doc_id"), "h"), "doc_id").dropDuplicates(["doc_id"])
     stats = written(terminality(rows), "terminality")  # read three times below

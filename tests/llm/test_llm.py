@@ -203,6 +203,20 @@ def test_near_copy_decides(spark):
     assert got[2] == got[4] == (True, "copy") and not got[1][0] and not got[3][0]
 
 
+def test_every_longer_text_of_a_bucket_is_tried(spark):
+    rng = random.Random(18)
+    line = lambda: " ".join(_sentence(rng, 9)) + " end"
+    whole = "\n".join(line() for _ in range(20))
+    cut = whole[: whole.rindex(" end") - 7]
+    texts = {1: cut, 2: "\n".join([whole, line()]), 3: "\n".join(line() for _ in range(60))}
+    # between the cut text and its copy lie others of the same bucket
+    texts |= {10 + i: "\n".join(line() for _ in range(20)) for i in range(12)}
+    rows = [(d, "cut" if d == 1 else "whole", "", len(t), len(truncation.shingle_hashes(words(t))), [7] * 16) for d, t in texts.items()]
+    profiles = spark.createDataFrame(rows, "doc_id long, kind string, key string, size int, shingles int, bands array<long>")
+    got = truncation._copies(profiles, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["verdict"]) for r in got] == [(1, 1)]
+
+
 def test_min_hash_finds_similar_texts():
     rng = random.Random(9)
     found = 0
