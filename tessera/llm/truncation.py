@@ -28,6 +28,8 @@ from tessera.session import written
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 #: Longer texts of a bucket that a text meets in the first round; each later round takes four times as many, up to the last.
 NEXT, NEXT_MOST = 4, 256
+#: Last words of the short text that are aligned with the long one.
+TAIL = 400
 #: Below this share of closing occurrences in list items a word doesn't end one.
 CLOSES = 0.05
 #: Words before a mark like "..." are a phrase of its own if so many texts end so and no more sentences begin so and go on.
@@ -45,6 +47,7 @@ _RULE = re.compile(r"^[ \t]*([-=*_~#.·])\1{2,}[ \t]*$")
 _LOG = re.compile(r"^[ \t]*\[?(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d")
 _JSON = re.compile(r"^\s*(?:\[\s*[\[{\"\]]|\{\s*[\"}])")
 _TOKEN = re.compile(r"\S+")
+_RUN = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _NUMBER = re.compile(r"^[(\[“\"']?\d[\d.,:/-]*$")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*("|$)', re.S)
@@ -260,16 +263,68 @@ def ends_early(short: str, long: str) -> int:
     both = len(np.intersect1d(x, y, assume_unique=True))
     if both < SIMILAR * (len(x) + len(y) - both):
         return 0
-    tail = re.sub(r"\s+", " ", "\n".join(_bare(short)))
-    tail = _MARK.sub("", tail).rstrip()[-40:]
-    flat = re.sub(r"[ \t\r]*\n\s*", "\n", long)
-    at = re.search(re.sub(r"(?:\\?[ \n])+", r"\\s+", re.escape(tail)), flat[max(0, int(len(flat) * 0.6)) :]) if len(tail) > 10 else None
-    if not at:
+    bare = _MARK.sub("", "\n".join(_bare(short))).rstrip()
+    rest = _beyond(bare, long.replace("\r\n", "\n").replace("\r", "\n"))
+    if not rest or not rest.strip():
         return 0
-    rest = flat[max(0, int(len(flat) * 0.6)) + at.end() :]
-    if not rest.strip():
-        return 0
-    return -1 if rest[0] == "\n" or tail.rstrip(_CLOSERS)[-1:] in _END else 1
+    if _JSON.match(bare) or bare.lstrip().split("\n")[0].rstrip().endswith("{") or bare.lstrip().startswith("```"):
+        return 1 if judge(short)[0] == "cut" else -1  # a line's end closes no value or block
+    if bare.rstrip(_CLOSERS)[-1:] in tuple(_END):
+        return 1 if _word(rest[0]) else -1
+    return -1 if rest.lstrip(" \t" + _CLOSERS + ",;").startswith("\n") else 1
+
+
+def _word(c: str) -> bool:
+    return c.isalnum()
+
+
+def _beyond(short: str, long: str) -> str | None:
+    """What the long text has after the place where the alignment of the short text's last words ends, None if its last word stands at no such place."""
+    a, b = list(_RUN.finditer(short)), list(_RUN.finditer(long))
+    if not a or not b:
+        return None
+    n = len(a)
+    # similar texts are displaced by no more words than they may differ in
+    low = max(0, int((n - min(TAIL, n)) * SIMILAR) - 2 * SHINGLE)
+    high = min(len(b), int(n / SIMILAR) + 2 * SHINGLE)
+    a, b = a[-TAIL:], b[low:high]
+    if not b:
+        return None
+    known: dict[str, int] = {}
+    x = [known.setdefault(m[0].lower(), len(known)) for m in a]
+    y = np.array([known.get(m[0].lower(), -1) for m in b])
+    last = a[-1][0].lower()
+    open_end = a[-1].end() == len(short)
+    begins = np.array([m[0].lower().startswith(last) if open_end else m[0].lower() == last for m in b])
+    # free begin in the long text unless both begin together; each edit costs 1
+    at = np.arange(len(b) + 1, dtype=np.float32)
+    h = -at if low == 0 and n <= TAIL else np.zeros_like(at)
+    for i, w in enumerate(x):
+        same = begins if i == len(x) - 1 else y == w
+        t = np.full(len(b) + 1, h[0] - 1, np.float32)
+        step = h[:-1] + np.where(same, 1, -1)
+        t[1:] = np.maximum(step, h[1:] - 1)
+        h = np.maximum.accumulate(t + at) - at
+    end = np.flatnonzero(begins & (step >= h[1:]))
+    if not len(end):
+        return None
+    best = end[np.argmax(step[end])]
+    if step[best] < max(h.max() - 1, 0):
+        return None
+    m = b[best]
+    if m[0].lower() != last:
+        return long[m.start() + len(a[-1][0]) :]
+    after, rest = short[a[-1].end() :], long[m.end() :]
+    # the signs after the last word, whatever the white space among them
+    i = 0
+    for c in after:
+        while not c.isspace() and rest[i : i + 1].isspace() and rest[i] != c:
+            i += 1
+        if not c.isspace() and rest[i : i + 1] == c:
+            i += 1
+        elif c in _END and _word(rest[i : i + 1] or " "):
+            return None
+    return rest[i:]
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -203,6 +203,21 @@ def test_near_copy_decides(spark):
     assert got[2] == got[4] == (True, "copy") and not got[1][0] and not got[3][0]
 
 
+def test_the_alignment_decides_despite_edits():
+    rng = random.Random(19)
+    lines = [" ".join(_sentence(rng, 12)) + "." for _ in range(12)]
+    whole = "\n".join(lines)
+    cut = whole[: whole.rindex(lines[-1]) + 40]
+    edited = cut.split(" ")
+    edited[-3] = "Edited,"  # among the last 40 characters
+    assert truncation.ends_early(" ".join(edited), whole) == 1 and truncation.ends_early(cut[:-30] + cut[-30:].upper(), whole) == 1
+    # of lines with one end, only the right one
+    log = [f"step {i} {' '.join(_sentence(rng, 6))} of the long running import job was finished by worker" for i in range(20)]
+    whole = "\n".join(x + " 7;" if i == 19 else x for i, x in enumerate(log))
+    assert truncation.ends_early("\n".join(log), whole) == 1
+    assert truncation.ends_early(whole, whole) == 0
+
+
 def test_every_longer_text_of_a_bucket_is_tried(spark):
     rng = random.Random(18)
     line = lambda: " ".join(_sentence(rng, 9)) + " end"
