@@ -1,7 +1,7 @@
 """Texts that lost their end: near-copies that go on, and ends that no whole text has.
 
 Texts are reduced to what their end and their likeness need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
-found by banded min-hashes over shingles of five words; each text with a doubtful end meets the next longer ones of its buckets, some in each round, until a
+found by banded min-hashes over shingles of five words, for texts of few words also of five letters; each text, however it ends, meets the next longer ones of its buckets, some in each round, until a
 longer copy gives a verdict or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
 inside a sentence or line of the other is cut. Texts without such a copy are judged by their last line: its form (prose, list, log, JSON, code, sign-off)
 and the terminality of its closing words: the share of all their occurrences in the corpus that end a sentence or line.
@@ -26,6 +26,8 @@ from tessera.session import written
 
 #: Words of a shingle, least similarity of near-copies, bands and rows of a band (a pair at 0.8 is missed once in 500).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
+#: Texts with fewer words than this are compared by letters too.
+FEW = 8 * SHINGLE
 #: Longer texts of a bucket that a text meets in the first round; each later round takes four times as many, up to the last.
 NEXT, NEXT_MOST = 4, 256
 #: Last words of the short text that are aligned with the long one.
@@ -256,12 +258,17 @@ def bands(w: list[str]) -> list[int]:
     return total.view(np.int64).tolist()
 
 
+def _alike(a: list[str], b: list[str]) -> bool:
+    x, y = shingle_hashes(a), shingle_hashes(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILAR * (len(x) + len(y) - both)
+
+
 def ends_early(short: str, long: str) -> int:
     """1 if the short text is a near-copy that stops inside a sentence or line of the long one, -1 if it stops at the end of one, 0 if it is none."""
     a, b = words(short), words(long)
-    x, y = shingle_hashes(a), shingle_hashes(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < SIMILAR * (len(x) + len(y) - both):
+    few = len(a) < FEW and len(b) < FEW
+    if not (_alike(a, b) or few and _alike(list("".join(a)), list("".join(b)))):
         return 0
     bare = _MARK.sub("", "\n".join(_bare(short))).rstrip()
     rest = _beyond(bare, long.replace("\r\n", "\n").replace("\r", "\n"))
@@ -333,16 +340,21 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, t in zip(batch["doc_id"], batch["text"]):
             kind, key = judge(t)
             w = words(t)
-            out.append((d, kind, key, len(t or ""), len(shingle_hashes(w)), bands(w) if len(w) >= 2 * SHINGLE else []))
-        yield pd.DataFrame(out, columns=["doc_id", "kind", "key", "size", "shingles", "bands"])
+            # the bands of letters follow those of words
+            letters = "".join(w)
+            by_word = bands(w) if len(w) >= 2 * SHINGLE else [None] * BANDS
+            by_letter = bands(list(letters)) if len(w) < FEW and len(letters) >= 2 * SHINGLE else [None] * BANDS
+            out.append((d, kind, key, len(t or ""), len(shingle_hashes(w)), len(shingle_hashes(list(letters))) if len(w) < FEW else 0, by_word + by_letter))
+        yield pd.DataFrame(out, columns=["doc_id", "kind", "key", "size", "shingles", "letters", "bands"])
 
 
 def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, verdict (1 cut, -1 whole) of class representatives with a doubtful end that have a verified longer near-copy."""
+    """doc_id, verdict (1 cut, -1 whole) of class representatives that have a verified longer near-copy."""
     spark = profiles.sparkSession
-    rows = profiles.select("doc_id", "size", "shingles", F.col("kind").isin("cut", "mark", "list", "number").alias("doubt"), F.posexplode("bands").alias("band", "h"))
-    # buckets of one text or without doubt fall away before any text is read
-    buckets = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.count_if("doubt").alias("d")).where("n > 1 and d > 0")
+    rows = profiles.select("doc_id", "size", "shingles", "letters", F.posexplode("bands").alias("band", "h")).where("h is not null")
+    rows = rows.withColumn("shingles", F.when(F.col("band") < BANDS, F.col("shingles")).otherwise(F.col("letters"))).drop("letters")
+    # buckets of one text fall away before any text is read
+    buckets = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
     order = ["band", "h", "size", "doc_id"]  # a large bucket spreads over partitions
     rows = rows.join(buckets.select("band", "h"), ["band", "h"]).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(rows.withColumn("_at", F.monotonically_increasing_id()), "buckets")
@@ -350,9 +362,9 @@ def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
     begin = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
     begin = spark.createDataFrame(begin, "part long, begin long")
     rows = rows.withColumn("part", F.shiftright("_at", 33)).join(F.broadcast(begin), "part").withColumn("place", F.col("begin") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
-    rows = written(rows.select("doc_id", "size", "shingles", "doubt", "band", "h", "place"), "places")
+    rows = written(rows.select("doc_id", "size", "shingles", "band", "h", "place"), "places")
     longer = rows.select("band", "h", F.col("place").alias("at"), F.col("doc_id").alias("long_id"), F.col("size").alias("long_size"), F.col("shingles").alias("long_shingles"))
-    asking, found, step, wide = rows.where("doubt").drop("doubt"), None, 1, NEXT
+    asking, found, step, wide = rows, None, 1, NEXT
     while True:
         asked = asking.withColumn("at", F.explode(F.sequence(F.col("place") + step, F.col("place") + step + wide - 1)))
         met = written(asked.join(longer, ["band", "h", "at"]), "met")
@@ -392,7 +404,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     classes = keyed.groupBy("doc_id").agg(F.max("h").alias("h"))
     heads = classes.groupBy("h").agg(F.min("doc_id").alias("head"))
     heads = written(heads, "classes")
-    profiles = written(rows.mapInPandas(_profile, "doc_id long, kind string, key string, size int, shingles int, bands array<long>"), "profiles")
+    profiles = written(rows.mapInPandas(_profile, "doc_id long, kind string, key string, size int, shingles int, letters int, bands array<long>"), "profiles")
     # representatives only: a row's own id is its class's
     own = profiles.join(heads.select(F.col("head").alias("doc_id"), "h"), "doc_id").dropDuplicates(["doc_id"])
     stats = written(terminality(rows), "terminality")  # read three times below

@@ -218,6 +218,19 @@ def test_the_alignment_decides_despite_edits():
     assert truncation.ends_early(whole, whole) == 0
 
 
+def test_a_copy_overrules_any_end(spark):
+    rng = random.Random(20)
+    text = lambda: "\n".join(" ".join(_sentence(rng, 12)) + "." for _ in range(6))
+    ends = [("\n-- Maria Lopez", 8), ("\n\nOwner: platform", 6), (" See example.com/x.", 6), ("\n- took 1\n- took 2\n- took 345", 2)]
+    docs = []
+    for i, (end, off) in enumerate(ends):
+        whole = text() + end
+        docs += [(2 * i, whole), (2 * i + 1, whole[:-off])]
+    docs += [(50, "\u5929\u6c17\u306f\u4eca\u65e5\u3082\u3068\u3066\u3082\u3088\u304f\u3066\u6d77\u307e\u3067\u6b69\u3044\u305f\u3002\u5915\u65b9\u306b\u5bb6\u3078\u5e30\u3063\u305f\n-- \u5c71\u7530\u592a\u90ce"), (51, "\u5929\u6c17\u306f\u4eca\u65e5\u3082\u3068\u3066\u3082\u3088\u304f\u3066\u6d77\u307e\u3067\u6b69\u3044\u305f\u3002\u5915\u65b9\u306b\u5bb6\u3078\u5e30\u3063\u305f\n-- \u5c71\u7530")]
+    got = {r["doc_id"] for r in truncation.truncated(spark.createDataFrame(docs, "doc_id long, text string")).where("cut").collect()}
+    assert got == {1, 3, 5, 7, 51}
+
+
 def test_every_longer_text_of_a_bucket_is_tried(spark):
     rng = random.Random(18)
     line = lambda: " ".join(_sentence(rng, 9)) + " end"
@@ -226,8 +239,8 @@ def test_every_longer_text_of_a_bucket_is_tried(spark):
     texts = {1: cut, 2: "\n".join([whole, line()]), 3: "\n".join(line() for _ in range(60))}
     # between the cut text and its copy lie others of the same bucket
     texts |= {10 + i: "\n".join(line() for _ in range(20)) for i in range(12)}
-    rows = [(d, "cut" if d == 1 else "whole", "", len(t), len(truncation.shingle_hashes(words(t))), [7] * 16) for d, t in texts.items()]
-    profiles = spark.createDataFrame(rows, "doc_id long, kind string, key string, size int, shingles int, bands array<long>")
+    rows = [(d, "cut" if d == 1 else "whole", "", len(t), len(truncation.shingle_hashes(words(t))), 0, [7] * 16) for d, t in texts.items()]
+    profiles = spark.createDataFrame(rows, "doc_id long, kind string, key string, size int, shingles int, letters int, bands array<long>")
     got = truncation._copies(profiles, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["verdict"]) for r in got] == [(1, 1)]
 
