@@ -2,13 +2,15 @@
 
 Columns that disappear and columns that appear between two versions are matched by what they hold. Their profiles are value sketches: for each field, of
 each of 64 buckets of record ids the value of the record with the lowest hash, so that both versions sample the same records. A sketch is a partial
-aggregate and as small for a file with a third of all lines as for any other. Pairs that their sketches clearly rule out are dropped; the others are
+aggregate and as small for a file with a third of all lines as for any other. Pairs that their sketches rule out beyond doubt are dropped; all others are
 counted exactly over all records of both files. Where fields compete, a maximum-weight bipartite matching decides, by shared values first, then equal
 type and similar name. Only schemas, never records, are gathered by group.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from tessera.functions.matching import assign, name_similarity
 from tessera.session import written
 
 BUCKETS = 64
-#: A pair is ruled out if so many sampled records hold both values and less than this share of them agree.
-SURE_AFTER, HOPELESS = 12, 0.2
+#: A pair is ruled out if records of which half agree would give so few agreeing samples with less than this probability.
+HOPELESS = 1e-12
 _PAIR = ["coll", "to_version"]
 
 
@@ -45,19 +47,21 @@ def version_pairs(vs: DataFrame) -> DataFrame:
     return rows.withColumn("gone", F.array_except(F.map_keys("old"), F.map_keys("new"))).withColumn("come", F.array_except(F.map_keys("new"), F.map_keys("old")))
 
 
-def records(files: DataFrame, key: str = "_id") -> DataFrame:
+def records(files: DataFrame, key: str = "_id", *keep: str) -> DataFrame:
     """coll, file_name, rec_id, line_no, row_id, doc (map from name to text: strings as they are, others as JSON). Broken lines and such without id are left out."""
     rows = files.withColumn("doc", F.from_json("raw", "map<string,string>"))
-    return rows.select("coll", "file_name", F.col("doc")[key].alias("rec_id"), "line_no", "row_id", "doc").where("rec_id is not null")
+    return rows.select("coll", "file_name", F.col("doc")[key].alias("rec_id"), "line_no", "row_id", "doc", *keep).where("rec_id is not null")
 
 
-def _values(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+def _values(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Values of fields that went or came: coll, to_version, side, field, rec_id, value; one per record, of its last line that has it."""
     role = lambda side, file, names: F.struct(F.col(file).alias("file_name"), "to_version", F.lit(side).alias("side"), F.col(names).alias("names"))
     both = pairs.where((F.size("gone") > 0) & (F.size("come") > 0))
     roles = both.select("coll", F.explode(F.array(role(0, "from_file", "gone"), role(1, "to_file", "come"))).alias("r")).where("r.file_name is not null")
     roles = roles.groupBy("coll", F.col("r.file_name").alias("file_name")).agg(F.collect_list(F.struct("r.to_version", "r.side", "r.names")).alias("roles"))
-    rows = lookup(recs, roles, ["coll", "file_name"]).where("roles is not null").select("coll", "rec_id", "line_no", "row_id", "doc", F.explode("roles").alias("r"))
+    # only lines of the files asked for are parsed
+    lines = lookup(files.select("coll", "file_name", "line_no", "row_id", "raw"), roles, ["coll", "file_name"]).where("roles is not null")
+    rows = records(lines, "_id", "roles").select("coll", "rec_id", "line_no", "row_id", "doc", F.explode("roles").alias("r"))
     rows = rows.select("coll", "r.to_version", "r.side", "rec_id", "line_no", "row_id", F.explode(F.map_filter("doc", lambda k, v: v.isNotNull() & F.array_contains("r.names", k))).alias("field", "value"))
     return rows.groupBy("coll", "to_version", "side", "field", "rec_id").agg(F.max(F.struct("line_no", "row_id", "value")).alias("v")).select("coll", "to_version", "side", "field", "rec_id", "v.value")
 
@@ -69,13 +73,26 @@ def _sides(rows: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return old, new.select(*_PAIR, "come", *(F.col(c).alias(f"{c}2") if c == "value" else F.col(c) for c in keep))
 
 
+def _hopeless() -> list[int]:
+    """For 0 to BUCKETS samples: with how few agreeing ones a share of one half is out of the question (-1: with none)."""
+    out = []
+    for n in range(BUCKETS + 1):
+        total, k = 0.0, -1
+        while total + math.comb(n, k + 1) * 0.5**n < HOPELESS:
+            k += 1
+            total += math.comb(n, k) * 0.5**n
+        out.append(k)
+    return out
+
+
 def ruled_out(values: DataFrame) -> DataFrame:
-    """coll, to_version, gone, come of pairs whose value sketches clearly differ."""
+    """coll, to_version, gone, come of pairs whose value sketches differ beyond doubt."""
     h = F.xxhash64("rec_id")
     sketch = values.groupBy(*_PAIR, "side", "field", F.pmod(h, F.lit(BUCKETS)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), F.xxhash64("value").alias("v"))).alias("s"))
     old, new = _sides(sketch.select(*_PAIR, "side", "field", F.col("s.h").alias("h"), F.col("s.v").alias("value")), "h", "value")
     agree = old.join(new, [*_PAIR, "h"]).groupBy(*_PAIR, "gone", "come").agg(F.count("*").alias("n"), F.count_if(F.col("value") == F.col("value2")).alias("same"))
-    return agree.where((F.col("n") >= SURE_AFTER) & (F.col("same") < HOPELESS * F.col("n"))).select(*_PAIR, "gone", "come")
+    bound = F.element_at(F.array(*map(F.lit, _hopeless())), F.least(F.col("n"), F.lit(BUCKETS)).cast("int") + 1)
+    return agree.where(F.col("same") <= bound).select(*_PAIR, "gone", "come")
 
 
 def _match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,12 +100,12 @@ def _match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*key, a, b) for a, b in assign(w)], columns=[*_PAIR, "gone", "come"])
 
 
-def renames(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+def renames(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """coll, to_version, gone, come: fields renamed from one version to the next.
 
     Of the records with both values in both files more than half hold the same text; a field is renamed to one other at most.
     """
-    values = written(_values(pairs, recs), "drift")  # read three times below
+    values = written(_values(pairs, files), "drift")  # read three times below
     listed = pairs.select(*_PAIR, F.explode("gone").alias("gone"), "come", "old", "new").select(*_PAIR, "gone", F.explode("come").alias("come"), (F.col("old")[F.col("gone")]).alias("t1"), "new")
     listed = listed.select(*_PAIR, "gone", "come", F.coalesce(F.col("t1") == F.col("new")[F.col("come")], F.lit(False)).cast("int").alias("same_type"))
     open_ = listed.join(ruled_out(values), [*_PAIR, "gone", "come"], "left_anti")
@@ -111,8 +128,8 @@ def schema_changes(defs: DataFrame, files: DataFrame) -> DataFrame:
 
     No two versions of a collection: no rows for it. Records are only needed to tell renames; without files, renamed fields are removed and added ones.
     """
-    pairs = version_pairs(versions(defs))
-    named = renames(pairs, records(files)).groupBy(*_PAIR).agg(F.collect_list(F.struct("gone", "come")).alias("named"))
+    pairs = written(version_pairs(versions(defs)), "versions")  # schemas only; read in every step
+    named = renames(pairs, files).groupBy(*_PAIR).agg(F.collect_list(F.struct("gone", "come")).alias("named"))
     rows = pairs.join(named, _PAIR, "left").withColumn("named", F.coalesce("named", F.array().cast("array<struct<gone:string,come:string>>")))
     change = lambda kind, name, new: F.struct(F.lit(kind).alias("change_kind"), name.alias("field_name"), new.alias("new_field"))
     none = F.lit("")
@@ -136,7 +153,9 @@ def _canonical(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.sort_values("schema_version", ascending=False).itertuples():
         out += [(key[0], r.schema_version, r.file_name, f, names.get(f, f)) for f in r.fields]
         back = dict(zip(r.come, r.gone))
-        names = {back.get(f, f): names.get(f, f) for f in {*r.fields, *names}}
+        known = {f: names.get(f, f) for f in sorted({*r.fields, *names})}
+        # a name that is given up here, and used again later, means the renamed field before
+        names = {f: n for f, n in known.items() if f not in back} | {back[f]: known[f] for f in sorted(back)}
     return pd.DataFrame(out, columns=["coll", "schema_version", "file_name", "field", "canonical"])
 
 
@@ -145,8 +164,8 @@ def unify(defs: DataFrame, files: DataFrame) -> DataFrame:
 
     Only fields of the version's schema are kept. Of two fields with one last name, that of the lower name holds.
     """
-    vs, recs = versions(defs), records(files)
-    named = renames(version_pairs(vs), recs).groupBy("coll", F.col("to_version").alias("schema_version")).agg(F.sort_array(F.collect_list(F.struct("come", "gone"))).alias("n"))
+    vs, recs = written(versions(defs), "versions"), records(files)
+    named = renames(written(version_pairs(vs), "versions"), files).groupBy("coll", F.col("to_version").alias("schema_version")).agg(F.sort_array(F.collect_list(F.struct("come", "gone"))).alias("n"))
     empty = F.array().cast("array<string>")
     rows = vs.join(named, ["coll", "schema_version"], "left").select("coll", "schema_version", "file_name", F.map_keys("types").alias("fields"), F.coalesce("n.come", empty).alias("come"), F.coalesce("n.gone", empty).alias("gone"))
     names = rows.groupBy("coll").applyInPandas(_canonical, "coll string, schema_version int, file_name string, field string, canonical string")

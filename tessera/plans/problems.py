@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, changefeed, drift, incremental
-from tessera.operators.sessions import sessions
+from tessera.operators import audit, changefeed, drift, incremental, sessions
+from tessera.session import scratch
 from tessera.sources.tables import table
 from tessera.streaming import features as streamed
 
-HALF_HOUR = 30 * 60 * 1_000_000
+MINUTE = 60 * 1_000_000
 
 
 def _agent_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -18,18 +18,23 @@ def _agent_entries(spark: SparkSession, d: str) -> DataFrame:
     return once.where("agent is not null")
 
 
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.gap_forest(_agent_entries(spark, d), F.col("agent"), F.col("entry_ts"), F.col("entry_id"), 5 * MINUTE)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of every agent at a gap of 30 minutes."""
-    out = sessions(_agent_entries(spark, d), F.col("agent"), F.col("entry_ts"), F.col("entry_id"), HALF_HOUR)
+    """Sessions of every agent at a gap of 30 minutes, cut from the stored trees."""
+    out = sessions.cut(_forest(spark, d), 30 * MINUTE)
     return out.select(F.col("entity").alias("agent_id"), F.col("first_id").alias("first_entry_id"), F.col("last_id").alias("last_entry_id"))
 
 
 def p1_sessions_by_gap(spark: SparkSession, d: str) -> DataFrame:
-    """Number of sessions, their entries and longest duration for several gap settings, from one pass over the trees."""
-    minute = 60 * 1_000_000
-    out = sessions(_agent_entries(spark, d), F.col("agent"), F.col("entry_ts"), F.col("entry_id"), [5 * minute, 30 * minute, 240 * minute])
-    by = out.groupBy((F.col("threshold") / minute).cast("int").alias("gap_minutes"))
-    return by.agg(F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_entries"), F.max("duration_micros").alias("longest_micros"))
+    """Number of sessions, their entries and longest duration for several gap settings, from trees stored once."""
+    forest, out = _forest(spark, d), None
+    for gap in (5, 30, 240):
+        one = sessions.cut(forest, gap * MINUTE).agg(F.lit(gap).alias("gap_minutes"), F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_entries"), F.max("duration_micros").alias("longest_micros"))
+        out = one if out is None else out.unionByName(one)
+    return out.where("n_sessions > 0")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +43,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All records in one table under the last names of their fields, as JSON text."""
+    """All records in one table under the last names of their fields, a row per field."""
     rows = drift.unify(table(spark, d, "schema_defs"), table(spark, d, "record_files"))
-    return rows.withColumn("fields", F.to_json("fields"))
+    return rows.select("coll", "rec_id", "schema_version", F.explode("fields").alias("field_name", "value"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,12 +54,43 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return state.withColumnRenamed("payload", "etag")
 
 
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, from a feed that comes in four batches, one of them twice, with a compaction between."""
+    feed, store = table(spark, d, "change_feed"), changefeed.new_table(spark)
+    etag, part = F.get_json_object("doc", "$.etag"), F.pmod(F.xxhash64("feed_id"), F.lit(4))
+    for k in (0, 1, 1, 2, 3):
+        store.append(feed.where(part == k), etag)
+        if k == 2:
+            store.compact()
+    return store.read().withColumnRenamed("payload", "etag")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the audit log and versions of stored records as pairs of the feeds of sync_runs."""
+    log, records = table(spark, d, "audit_log"), table(spark, d, "stored_records")
+    entries = incremental.pairs_of(log, F.concat(F.lit("audit/"), "node"), F.col("entry_id"), F.lit(0), F.col("received_at"))
+    return entries.unionByName(incremental.pairs_of(records, F.col("coll"), F.col("rec_id"), F.col("rec_version"), F.col("received_at")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """What the next run of every feed must process."""
-    runs, log, records = table(spark, d, "sync_runs"), table(spark, d, "audit_log"), table(spark, d, "stored_records")
-    entries = incremental.new_keys(log, runs, F.concat(F.lit("audit/"), "node"), F.col("entry_id"), F.lit(0), F.col("received_at"))
-    versions = incremental.new_keys(records, runs, F.col("coll"), F.col("rec_id"), F.col("rec_version"), F.col("received_at"))
-    return entries.unionByName(versions)
+    """What the next run of every feed must process: reread from the oldest open attempt, without what the ledger of the runs so far has."""
+    ledger, pairs = incremental.new_ledger(spark), _pairs(spark, d)
+    ledger.adopt(pairs, table(spark, d, "sync_runs"))
+    return ledger.due(pairs)
+
+
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Records that three runs process: run 1 after the history, which dies once before its commit; run 2 with nothing new; run 3 with every record one version higher."""
+    ledger, pairs, out = incremental.new_ledger(spark), _pairs(spark, d), None
+    ledger.adopt(pairs, table(spark, d, "sync_runs"))
+    later = pairs.withColumn("rec_version", F.col("rec_version") + 1).withColumn("received_at", F.col("received_at") + F.expr("interval 100 years"))
+    ledger.begin(pairs)  # this attempt ends here; the next one has the same pairs
+    for rows in (pairs, pairs, pairs.unionByName(later)):
+        n, _ = ledger.begin(rows)
+        ledger.commit(n)
+        done = ledger.run(n).select(F.lit(n).alias("run"), "feed")
+        out = done if out is None else out.unionByName(done)
+    return out.groupBy("run", "feed").agg(F.count("*").alias("n_records"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +104,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select(F.col("entity").alias("agent_id"), F.col("kind").alias("tool"), F.col("last_id").alias("last_entry_id"), F.col("n").alias("n_calls"))
 
 
+def p7_updates(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_found, from a log that comes in two parts, the second with all of the first again, each followed by an update of one store."""
+    log, at = table(spark, d, "audit_log"), scratch(spark, "arrivals")
+    store, half = streamed.new_store(spark), F.pmod(F.xxhash64("entry_id", "received_at"), F.lit(2)) == 0
+    for part in (log.where(half), log):
+        part.write.mode("append").parquet(at)
+        new = streamed.stream_of(spark, at).where(audit.usable("entry_ts"))
+        store.update(new, audit.name_of("agent_id"), audit.name_of("tool"), F.col("entry_ts"), F.col("entry_id"), F.col("request_bytes"))
+    rows = store.features()
+    return rows.select(F.col("entity").alias("agent_id"), F.col("kind").alias("tool"), F.col("last_id").alias("last_entry_id"), F.col("n").alias("n_calls"))
+
+
 def p7_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per agent with calls and bytes of each tool as text, ordered by tool."""
     rows = streamed.feature_rows(_features(spark, d))
@@ -115,8 +163,17 @@ HAVING max(rec_version) > coalesce(max(CASE WHEN received_at <= seen_until THEN
 """,
 }
 
-SQL["p2_found"] = """
-WITH v AS (
+SQL["p3_batches"] = SQL["p3_found"]
+SQL["p6_runs"] = f"""
+WITH due AS ({SQL["p6_found"]}),
+k AS (
+  SELECT 'audit/' || node AS feed, entry_id AS rec_key FROM audit_log WHERE node IS NOT NULL AND entry_id IS NOT NULL
+  UNION SELECT coll, rec_id FROM stored_records WHERE coll IS NOT NULL AND rec_id IS NOT NULL)
+SELECT 1 AS run, feed, count(*) AS n_records FROM due GROUP BY feed
+UNION ALL SELECT 3, feed, count(*) FROM k GROUP BY feed
+"""
+_RENAMES = """
+WITH RECURSIVE v AS (
   SELECT coll, schema_version, max(file_name) AS file_name, arg_max(field_defs, (saved_at, def_id)) AS defs
   FROM schema_defs WHERE coll IS NOT NULL AND schema_version IS NOT NULL AND json_valid(field_defs) GROUP BY coll, schema_version),
 p AS (
@@ -137,12 +194,35 @@ e AS (
 x AS (
   SELECT * FROM e WHERE share > 0.5
   QUALIFY row_number() OVER (PARTITION BY coll, to_version, a ORDER BY share DESC, b) = 1 AND row_number() OVER (PARTITION BY coll, to_version, b ORDER BY share DESC, a) = 1)
+"""
+SQL["p2_found"] = (
+    _RENAMES
+    + """
 SELECT coll, to_version, 'removed' AS change_kind, field AS field_name, '' AS new_field FROM gone ANTI JOIN x ON gone.coll = x.coll AND gone.to_version = x.to_version AND field = a
 UNION ALL SELECT coll, to_version, 'added', field, '' FROM come ANTI JOIN x ON come.coll = x.coll AND come.to_version = x.to_version AND field = b
 UNION ALL SELECT coll, to_version, 'renamed', a, b FROM x
 UNION ALL SELECT coll, to_version, 'type_changed', b, '' FROM x WHERE ka <> kb
 UNION ALL SELECT n.coll, n.to_version, 'type_changed', n.field, '' FROM n JOIN o USING (coll, to_version, field) WHERE n.kind <> o.kind
 """
+)
+SQL["p2_unified"] = (
+    _RENAMES.rstrip()
+    + """,
+vv AS (SELECT coll, schema_version, file_name, defs, lead(schema_version) OVER (PARTITION BY coll ORDER BY schema_version) AS later FROM v),
+n0 AS (SELECT coll, schema_version, file_name, unnest(json_keys(defs)) AS field FROM vv),
+walk(coll, schema_version, field, pos, name) AS (
+  SELECT coll, schema_version, field, schema_version, field FROM n0
+  UNION ALL SELECT w.coll, w.schema_version, w.field, vv.later, coalesce(x.b, w.name)
+  FROM walk w JOIN vv ON vv.coll = w.coll AND vv.schema_version = w.pos AND vv.later IS NOT NULL LEFT JOIN x ON x.coll = w.coll AND x.to_version = vv.later AND x.a = w.name),
+last AS (SELECT coll, schema_version, field, arg_max(name, pos) AS name FROM walk GROUP BY ALL),
+file AS (SELECT coll, file_name, max(schema_version) AS schema_version FROM v WHERE file_name IS NOT NULL GROUP BY ALL),
+line AS (
+  SELECT coll, json_extract_string(raw, '$._id') AS rec_id, arg_max(raw, (schema_version, line_no, row_id)) AS raw, max(schema_version) AS schema_version
+  FROM record_files JOIN file USING (coll, file_name) WHERE json_valid(raw) AND json_extract_string(raw, '$._id') IS NOT NULL GROUP BY ALL),
+val AS (SELECT coll, rec_id, schema_version, name AS field_name, field, raw ->> ('$."' || field || '"') AS value FROM line JOIN last USING (coll, schema_version))
+SELECT coll, rec_id, schema_version, field_name, arg_min(value, field) AS value FROM val WHERE value IS NOT NULL GROUP BY coll, rec_id, schema_version, field_name
+"""
+)
 
 _CALLS = """
 WITH once AS (
@@ -153,10 +233,11 @@ f AS (
   FROM once WHERE agent_id IS NOT NULL AND tool IS NOT NULL GROUP BY agent_id, tool)
 """
 SQL["p7_found"] = _CALLS + "SELECT agent_id, tool, last_entry_id, n_calls FROM f"
+SQL["p7_updates"] = SQL["p7_found"]
 SQL["p7_features"] = (
     _CALLS
     + """SELECT agent_id, CAST(sum(n_calls) AS BIGINT) AS n_calls, CAST(sum(bytes) AS BIGINT) AS request_bytes, arg_max(last_entry_id, (last_ts, last_entry_id)) AS last_entry_id,
 string_agg(tool || '=' || n_calls || ':' || bytes, ',' ORDER BY tool) AS by_tool FROM f GROUP BY agent_id"""
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions_by_gap, p2_found, p2_unified, p3_found, p6_found, p7_found, p7_features)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions_by_gap, p2_found, p2_unified, p3_found, p3_batches, p6_found, p6_runs, p7_found, p7_updates, p7_features)}

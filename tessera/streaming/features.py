@@ -2,8 +2,8 @@
 
 The stream drops entries already counted (state: their ids) and keeps, for each entity and event type, a counter, the latest entry and totals (state: one
 row each). Both states live in RocksDB beside the heap and are checkpointed with the offsets in the shared folder, so a run that dies is resumed without
-skipping or repeating an entry. After each batch the rows that changed are upserted as a whole into the feature table; its versions are numbered by
-batch, so a batch that is run again overwrites its own version only.
+skipping or repeating an entry. After each batch the rows that changed are upserted as a whole: appended under the number of the batch, of which the latest
+holds, so an upsert costs what changed, and a batch that is run again overwrites its own rows only.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import remove, scratch
+from tessera.session import scratch
+from tessera.sources.files import Files
 
+_COUNTED = ("n", "last_ts", "last_id", "total")
+_FEATURES = "entity string, kind string, n long, last_ts timestamp_ntz, last_id string, total long, batch long"
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -51,35 +54,45 @@ def stream_of(spark: SparkSession, path: str, max_files: int | None = None) -> D
 
 
 class FeatureStore:
-    """Feature rows (entity, kind, n, last_ts, last_id, total) under ``path``, fed by ``update``."""
+    """Feature rows (entity, kind, n, last_ts, last_id, total) under ``path``, fed by ``update``.
+
+    ``d-N`` holds the rows that batch N changed, ``f-N`` all rows as of batch N. After FOLD batches those since the last fold are folded, so a batch costs
+    what it changes, and a reader merges few files.
+    """
+
+    #: Batches between two folds.
+    FOLD = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.at = spark, path, f"{path}/checkpoint"
+        self.files = Files(spark, f"{path}/features")
 
-    def _version(self, batch: int) -> str:
-        return f"{self.path}/features-{batch:09d}"
+    def _numbers(self, kind: str) -> list[int]:
+        return [int(n[2:]) for n in self.files.names() if n.startswith(f"{kind}-") and self.files.exists(f"{n}/_SUCCESS")]
 
-    def _latest(self, before: int | None = None) -> int:
-        """Number of the latest whole version (below ``before``), -1 if there is none."""
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/features-*/_SUCCESS")
-        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-        numbers = [int(str(f.getPath().getParent().getName()).rpartition("-")[2]) for f in found]
-        return max((n for n in numbers if before is None or n < before), default=-1)
+    def _parts(self) -> list[str]:
+        base = max(self._numbers("f"), default=-1)
+        return [f"f-{base:09d}"] * (base >= 0) + [f"d-{n:09d}" for n in self._numbers("d") if n > base]
 
     def _upsert(self, changed: DataFrame, batch: int) -> None:
-        old = self._latest(batch)
-        if old >= 0:
-            kept = self.spark.read.parquet(self._version(old)).join(changed.select("entity", "kind"), ["entity", "kind"], "left_anti")
-            changed = changed.unionByName(kept)
-        changed.write.mode("overwrite").parquet(self._version(batch))
-        older = self._latest(old) if old >= 0 else -1
-        if older >= 0:  # the last but one may still be read by a batch that is run again
-            remove(self.spark, self._version(older))
-
-    def update(self, entries: DataFrame, entity: Column, kind: Column, ts: Column, entry_id: Column, amount: Column) -> None:
-        """Count all entries that came since the last update. Entries with a null entity, kind, time or id are left out; a null amount adds nothing."""
-        rows = entries.select(entity.alias("entity"), kind.alias("kind"), ts.alias("ts"), entry_id.alias("id"), amount.cast("long").alias("amount"))
-        once = rows.dropna(subset=["entity", "kind", "ts", "id"]).dropDuplicates(["id"])
+        # a batch that is run again overwrites its own rows only
+        changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.files.root}/d-{batch:09d}")
+        parts = self._parts()
+        if len(parts) > self.FOLD:
+            self._rows().write.mode("overwrite").parquet(f"{self.files.root}/f-{batch:09d}")
+            for p in self.files.names():
+                if p not in (f"d-{batch:09d}", f"f-{batch:09d}"):  # this batch may be run again
+                    self.files.delete(p)
+
+    def update(self, entries: DataFrame, entity: Column, kind: Column, ts: Column, entry_id: Column, amount: Column, repeated_within: tuple[Column, str] | None = None) -> None:
+        """Count all entries that came since the last update. Entries with a null entity, kind, time or id are left out; a null amount adds nothing.
+
+        An entry may come again at any time: the state keeps every id. With ``repeated_within`` (time of arrival, delay) copies must arrive within the
+        delay, and the state keeps the ids of that time only.
+        """
+        rows = entries.select(entity.alias("entity"), kind.alias("kind"), ts.alias("ts"), entry_id.alias("id"), amount.cast("long").alias("amount"), *([repeated_within[0].cast("timestamp").alias("came")] if repeated_within else []))
+        rows = rows.dropna(subset=["entity", "kind", "ts", "id"])
+        once = rows.withWatermark("came", repeated_within[1]).dropDuplicatesWithinWatermark(["id"]) if repeated_within else rows.dropDuplicates(["id"])
         last = F.max(F.struct("ts", "id"))
         state = once.groupBy("entity", "kind").agg(F.count("*").alias("n"), last.alias("last"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
         state = state.select("entity", "kind", "n", F.col("last.ts").alias("last_ts"), F.col("last.id").alias("last_id"), "total")
@@ -88,11 +101,19 @@ class FeatureStore:
             query = writer.trigger(availableNow=True).start()
             query.awaitTermination()
 
+    def _rows(self) -> DataFrame:
+        parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], _FEATURES)
+        rows = self.spark.read.schema(_FEATURES).parquet(*(f"{self.files.root}/{p}" for p in parts))
+        if len(parts) == 1:
+            return rows
+        whole = F.struct("batch", *_COUNTED)
+        return rows.groupBy("entity", "kind").agg(F.max(whole).alias("r")).select("entity", "kind", *(f"r.{c}" for c in _COUNTED), "r.batch")
+
     def features(self) -> DataFrame:
         """The feature rows; none before the first entry."""
-        latest = self._latest()
-        schema = "entity string, kind string, n long, last_ts timestamp_ntz, last_id string, total long"
-        return self.spark.read.schema(schema).parquet(self._version(latest)) if latest >= 0 else self.spark.createDataFrame([], schema)
+        return self._rows().drop("batch")
 
 
 def feature_rows(features: DataFrame) -> DataFrame:

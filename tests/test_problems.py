@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.matching import assign
 from tessera.operators import audit, changefeed, drift, incremental
-from tessera.operators.sessions import cut, gap_tree, sessions
+from tessera.operators.sessions import APART, Spine, cut, gap_forest, sessions
 from tessera.streaming.features import FeatureStore, feature_rows, stream_of
 
 T0 = dt.datetime(2020, 1, 1)
@@ -16,13 +16,19 @@ def at(minutes):
     return None if minutes is None else T0 + dt.timedelta(minutes=minutes)
 
 
-def test_gap_tree_cuts_like_a_scan():
+def test_a_growing_tree_holds_the_sessions_of_every_threshold():
     rng = random.Random(2)
     for n in (1, 2, 50, 400):
         gaps = [rng.randrange(20) for _ in range(n)]
-        tree = gap_tree(gaps)
-        for t in (-1, 0, 5, 19, 30):
-            assert cut(gaps, tree, t) == [i for i, g in enumerate(gaps) if g > t]
+        ts = [sum(gaps[:i]) for i in range(n + 1)]
+        spine, nodes = Spine(), []
+        for i, t in enumerate(ts):
+            nodes += spine.add(gaps[i - 1] if i else APART, [-1, t, i, t, i, 1, False])
+        nodes += spine.close()
+        for threshold in (0, 5, 19, 30):
+            got = sorted((x[2], x[4], x[5]) for x, above in nodes if x[0] <= threshold < above)
+            starts = [0] + [i + 1 for i, g in enumerate(gaps) if g > threshold]
+            assert got == [(a, b - 1, b - a) for a, b in zip(starts, [*starts[1:], n + 1])]
 
 
 def _brute(rows, gap):
@@ -50,6 +56,10 @@ def test_sessions_over_partitions_with_a_hot_entity(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
         got = sessions(df, F.col("who"), F.col("ts"), F.col("id"), [minute, 5 * minute]).collect()
+        forest = gap_forest(df, F.col("who"), F.col("ts"), F.col("id"))
+        for m in (0, 2, 3, 60):
+            mine = {(r["entity"], r["first_id"], r["last_id"], r["n_events"]) for r in cut(forest, m * minute).collect()}
+            assert mine == _brute(rows, dt.timedelta(minutes=m))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     for m in (1, 5):
@@ -110,11 +120,81 @@ def test_incremental(spark):
     assert incremental.new_keys(df.limit(0), runs, F.col("feed0"), F.col("k"), F.col("v"), F.col("r")).count() == 0
 
 
+def test_a_run_that_dies_is_taken_up_with_the_same_records(spark, tmp_path):
+    ledger = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    schema = "feed string, k string, v int, r timestamp_ntz"
+    pairs = lambda rows: incremental.pairs_of(spark.createDataFrame(rows, schema), F.col("feed"), F.col("k"), F.col("v"), F.col("r"))
+    keys = lambda df: {(r["rec_key"], r["rec_version"]) for r in df.collect()}
+    rows = [("f", "a", 1, at(1)), ("f", "b", 1, at(2)), ("f", "b", 1, at(2)), ("f", "n", 1, None)]
+    n, due = ledger.begin(pairs(rows))
+    assert n == 0 and keys(due) == {("a", 1), ("b", 1), ("n", 1)}
+    # it dies; rows that came since wait for the next run
+    rows.append(("f", "c", 1, at(3)))
+    n, due = ledger.begin(pairs(rows))
+    assert n == 0 and keys(due) == {("a", 1), ("b", 1), ("n", 1)}
+    ledger.commit(0)
+    ledger.commit(0)
+    # a transaction that began at 2 is still open when run 1 reads
+    n, due = ledger.begin(pairs(rows), spark.createDataFrame([("f", at(2))], "feed string, oldest timestamp_ntz"))
+    assert n == 1 and keys(due) == {("c", 1)}
+    ledger.commit(n)
+    # it commits late, below what run 1 saw; "a" below the reread bound isn't read again
+    rows += [("f", "late", 1, at(2.5)), ("f", "a", 9, at(1)), ("f", "b", 1, at(4)), ("f", "c", 2, at(4))]
+    ledger.compact()
+    assert ledger.last_run() == 1 and ledger.processed().count() == 4
+    n, due = ledger.begin(pairs(rows))
+    assert n == 2 and keys(due) == {("late", 1), ("c", 2)}
+    ledger.commit(n)
+    assert keys(ledger.begin(pairs(rows))[1]) == set()
+    try:
+        ledger.commit(9)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_the_reread_bound_is_the_oldest_open_attempt(spark):
+    rows = [
+        ("f", 1, 1, at(0), at(1), "ok", at(1)), ("f", 2, 1, at(2), None, "running", None), ("f", 2, 2, at(3), at(9), "failed", None), ("f", 3, 1, at(5), at(6), "ok", at(6)),
+        ("f", 4, 1, at(7), None, "running", None), ("g", 5, 1, at(1), None, "running", None), ("h", 6, 1, at(1), at(2), "ok", at(2)), ("h", 7, 1, at(0.5), None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "feed string, run_id long, attempt int, started_at timestamp_ntz, finished_at timestamp_ntz, outcome string, last_timestamp timestamp_ntz")
+    got = {r["feed"]: (r["seen_until"], r["reread_from"]) for r in incremental.watermarks(df).collect()}
+    assert got == {"f": (at(6), at(3)), "h": (at(2), at(0.5))}
+
+
+def test_change_files_in_batches(spark, tmp_path):
+    rng = random.Random(14)
+    events = []
+    for seq in range(300):
+        gone = rng.random() < 0.3
+        events.append(("c", [f"r{rng.randrange(12)}"], [None if gone else seq], [None if gone else json.dumps({"etag": seq})], at(rng.randrange(60)), "clash"))
+    want = {(r["rec_id"], r["rec_version"]) for r in changefeed.current_state(_feed(spark, events)).collect()}
+    rng.shuffle(events)
+    store = changefeed.ChangeTable(spark, str(tmp_path / "t"))
+    assert store.read().count() == 0
+    for i in range(0, 300, 100):
+        n = store.append(_feed(spark, events[i : i + 120]))  # overlaps come again
+        assert store.append(_feed(spark, events[:1]), batch=n) == n
+        if i == 100:
+            store.compact()
+    got = [(r["rec_id"], r["rec_version"]) for r in store.read().collect()]
+    assert set(got) == want and len(got) == len(want)
+    store.compact()
+    assert {(r["rec_id"], r["rec_version"]) for r in store.read().collect()} == want
+    # an older change that comes late, after its record was removed and all was compacted
+    store.append(_feed(spark, [("c", ["zz"], [None], [None], at(50), "")]))
+    store.compact()
+    store.append(_feed(spark, [("c", ["zz"], [1], ["{}"], at(40), "")]))
+    assert "zz" not in {r["rec_id"] for r in store.read().collect()}
+
+
 def test_feature_store_over_several_runs(spark, tmp_path):
     schema = "id string, who string, what string, ts timestamp_ntz, n int"
     rows = [(f"{i}", f"w{i % 3}", f"t{i % 2}", at(i), i) for i in range(40)]
     src = str(tmp_path / "in")
     store = FeatureStore(spark, str(tmp_path / "store"))
+    store.FOLD = 1
     assert store.features().count() == 0
     for part in (rows[:15], rows[10:30], rows[25:] + [(None, "w", "t", at(1), 1), ("z", None, "t", at(1), 1)]):  # overlaps come again
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
