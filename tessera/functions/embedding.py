@@ -49,26 +49,60 @@ class HttpProvider:
 
         out: list[list[float]] = []
         for i in range(0, len(texts), self.batch):
-            body = {"input": texts[i : i + self.batch], **({"model": self.model} if self.model else {})}
+            body = self.body(texts[i : i + self.batch])
             req = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers})
             with urllib.request.urlopen(req, timeout=60) as r:
-                out += [d["embedding"] for d in json.load(r)["data"]]
+                out += self.parse(json.load(r))
         return out
 
+    def body(self, texts: list[str]) -> dict:
+        return {"input": texts, **({"model": self.model} if self.model else {})}
+
+    def parse(self, answer: dict) -> list[list[float]]:
+        return [d["embedding"] for d in answer["data"]]
+
+
+class OllamaProvider(HttpProvider):
+    """A service that takes {"model", "input": [...]} and gives {"embeddings": [[...]]}."""
+
+    def parse(self, answer: dict) -> list[list[float]]:
+        return answer["embeddings"]
+
+
+class CohereProvider(HttpProvider):
+    """A service that takes {"model", "texts": [...], "input_type"} and gives {"embeddings": [[...]]} or {"embeddings": {"float": [[...]]}}."""
+
+    def body(self, texts: list[str]) -> dict:
+        return {"texts": texts, "input_type": "search_document", **({"model": self.model} if self.model else {})}
+
+    def parse(self, answer: dict) -> list[list[float]]:
+        found = answer["embeddings"]
+        return found["float"] if isinstance(found, dict) else found
+
+
+class GeminiProvider(HttpProvider):
+    """A service that takes {"requests": [{"model", "content": {"parts": [{"text"}]}}]} and gives {"embeddings": [{"values": [...]}]}."""
+
+    def body(self, texts: list[str]) -> dict:
+        return {"requests": [{"model": self.model, "content": {"parts": [{"text": t}]}} for t in texts]}
+
+    def parse(self, answer: dict) -> list[list[float]]:
+        return [e["values"] for e in answer["embeddings"]]
+
 
 def embed_column(text: Column, provider: EmbeddingProvider, batch: int = 256) -> Column:
-    """Vectors of texts; NULL where a batch fails, so that it can be tried again."""
+    """(v, error) of texts: where a batch fails its texts have no vector and the error, so that they can be tried again."""
 
-    @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("v array<double>, error string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out: list = []
             for i in range(0, len(texts), batch):
                 some = texts.iloc[i : i + batch].fillna("").tolist()
                 try:
-                    out += provider.embed(some)
-                except Exception:  # noqa: BLE001
-                    out += [None] * len(some)
-            yield pd.Series(out, dtype=object)
+                    out += [(v, None) for v in provider.embed(some)]
+                except Exception as e:  # noqa: BLE001
+                    out += [(None, str(e))] * len(some)
+            yield pd.DataFrame({"v": pd.Series([v for v, _ in out], dtype=object), "error": pd.Series([e for _, e in out], dtype=object)})
 
     return vectors(text)

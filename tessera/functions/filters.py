@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.documents import number_kind, units
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _MAX_PATTERN = 200
 
@@ -34,11 +36,6 @@ def spelled(text: str) -> float:
     return 0.0 if not t else float(t) if re.match(_NUMBER, t) else math.nan
 
 
-def units(c: Column) -> Column:
-    """Length of a text in UTF-16 units."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
-
-
 def kind_of(v: Any) -> str:
     """Kind of a literal."""
     if v is None:
@@ -133,7 +130,7 @@ class VariantFields:
         v = F.coalesce(*(F.try_variant_get(self.doc, "$" + s, "variant") for s in steps))
         kind = F.schema_of_variant(v)
         as_ = lambda t: F.try_variant_get(v, "$", t)
-        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        number = number_kind(kind)
         items = as_("array<variant>")
         is_array = kind.startswith("ARRAY")
 
@@ -146,7 +143,7 @@ class VariantFields:
             if k == "boolean":
                 return (s == "BOOLEAN") & (F.try_variant_get(e, "$", "boolean") == lit)
             if k == "number":
-                return (s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")) & (F.try_variant_get(e, "$", "double") == float(lit))
+                return number_kind(s) & (F.try_variant_get(e, "$", "double") == float(lit))
             return F.lit(False)
 
         ref = Ref({"string": F.when(kind == "STRING", as_("string")), "number": F.when(number, as_("double")), "boolean": F.when(kind == "BOOLEAN", as_("boolean"))}, v.isNotNull(), F.coalesce(F.is_variant_null(v), F.lit(False)))
@@ -156,6 +153,22 @@ class VariantFields:
         return ref
 
 
+class ColumnFields(VariantFields):
+    """Fields of stored records, of which some are kept in columns beside the document: ``<kind's first three letters>:<field>`` and ``is:<field>`` ("value", "null" or missing)."""
+
+    def __init__(self, doc: str, columns: Mapping[str, str], kept: Mapping[str, str]):
+        super().__init__(doc, columns)
+        self.kept = kept
+
+    def ref(self, path: str) -> Ref:
+        """A kept field has values of one kind only, so predicates on its column are plain and reach the scan."""
+        if path not in self.kept:
+            return super().ref(path)
+        kind, is_ = self.kept[path], F.col(f"`is:{path}`")
+        c = F.col(f"`{kind[:3]}:{path}`")
+        return Ref({"number" if kind == "double" else kind: c}, is_.isNotNull(), F.coalesce(is_ == "null", F.lit(False)), sort_key=c)
+
+
 def _check_pattern(p: str) -> str:
     """Reject patterns that can take exponential time: long ones, adjacent quantifiers, quantified groups with a quantifier or alternative inside."""
     if len(p) > _MAX_PATTERN:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import documents as docs
 from tessera.functions.compact import parse_compact
 from tessera.functions.filters import Compiler, TypedFields, VariantFields
 from tessera.operators import text
@@ -49,14 +50,19 @@ def live(df: DataFrame, now_ms: Column | int | None = None) -> DataFrame:
     return df.where(c.isNull() | at.isNull() | (at == 0) | (at >= now))
 
 
+def expired(c: Column) -> Column:
+    """Whether an ``_expires`` in milliseconds has passed."""
+    return F.coalesce((c != 0) & (c < F.unix_millis(F.current_timestamp())), F.lit(False))
+
+
 def _variant(df: DataFrame, doc: str) -> VariantFields:
     return VariantFields(doc, {c: k for c, k in BESIDE.items() if c in df.columns})
 
 
-def resolve(df: DataFrame, where: Mapping | str | None, variant: str | None = None, virtual: Mapping | None = None, tag_field: str = "tags", searchable: Column | None = None, negated: bool = False) -> Column:
+def resolve(df: DataFrame, where: Mapping | str | None, variant: str | None = None, virtual: Mapping | None = None, tag_field: str = "tags", searchable: Column | None = None, fields: Any = None) -> Column:
     """The predicate of a filter, JSON or compact; ``$text`` (at the top, or a part of a top-level $and) needs ``searchable``."""
     f: Any = parse_compact(where, tag_field) if isinstance(where, str) else where
-    compiler = Compiler(_variant(df, variant) if variant else TypedFields(df), virtual)
+    compiler = Compiler(fields or (_variant(df, variant) if variant else TypedFields(df)), virtual)
     found: list[Column] = []
 
     def hoist(x: Any) -> Any:
@@ -92,14 +98,16 @@ def order_by(df: DataFrame, sort: str, key: str, variant: str | None = None) ->
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """Without what is long: objects; texts over 200 units and arrays over 10 elements are null."""
+    """Without what is long: objects; texts over 200 units and arrays over 10 elements are null. Of a VARIANT document such fields are left out."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StructType, T.MapType, T.VariantType)):
+        if isinstance(f.dataType, (T.StructType, T.MapType)):
             continue
-        if isinstance(f.dataType, T.StringType):
-            c = F.when(F.length(c) <= 200, c)
+        if isinstance(f.dataType, T.VariantType):
+            c = docs.summary(c)
+        elif isinstance(f.dataType, T.StringType):
+            c = F.when(docs.units(c) <= 200, c)
         elif isinstance(f.dataType, T.ArrayType):
             c = F.when(F.size(c) <= 10, c)
         out.append(c.alias(f.name))
@@ -114,6 +122,8 @@ def _chars(c: Column, t: T.DataType) -> Column:
         n = F.aggregate(F.transform(c, lambda e: _chars(e, t.elementType) + 1), F.lit(2), lambda a, b: a + b)
     elif isinstance(t, T.StructType):
         n = sum((_chars(c[f.name], f.dataType) + len(f.name) + 4 for f in t), F.lit(2))
+    elif isinstance(t, T.VariantType):
+        n = docs.chars(c)
     elif isinstance(t, (T.DoubleType, T.FloatType)):
         n = F.length(F.regexp_replace(c.cast("string"), r"\.0$", ""))
     else:
@@ -122,7 +132,11 @@ def _chars(c: Column, t: T.DataType) -> Column:
 
 
 def tokens(df: DataFrame) -> Column:
-    """Estimated tokens of a record: a quarter of its characters, rounded up."""
+    """Estimated tokens of a record: a quarter of its characters, rounded up. The fields of a VARIANT ``doc`` count as the record's own."""
+    if dict(df.dtypes).get("doc") == "variant":
+        rest = [c for c in df.columns if c != "doc"]
+        own = _chars(F.struct(*(F.col(f"`{c}`") for c in rest)), df.select(*rest).schema) if rest else F.lit(2)
+        return F.ceil((own + F.coalesce(docs.chars(F.col("doc")), F.lit(2)) - 2) / 4).cast("long")
     return F.ceil(_chars(F.struct(*(F.col(f"`{c}`") for c in df.columns)), df.schema) / 4).cast("long")
 
 

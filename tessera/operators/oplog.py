@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def state(ops: DataFrame, key: str = "_id", seq: str = "seq", op: str = "op") -> DataFrame:
-    """The last operation of every key by sequence number, if it sets a record. Partial maxima: a key with any share of the log is no burden."""
+def state(ops: DataFrame, key: str = "_id", seq: str = "seq", op: str = "op", keep_deleted: bool = False) -> DataFrame:
+    """The last operation of every key by sequence number, if it sets a record (or always). Partial maxima: a key with any share of the log is no burden."""
     rest = [c for c in ops.columns if c not in (key, op)]
     last = ops.groupBy(key).agg(F.max_by(op, seq).alias(op), *(F.max_by(c, seq).alias(c) for c in rest))
-    return last.where(F.col(op) == "set").select(*ops.columns)
+    return (last if keep_deleted else last.where(F.col(op) == "set")).select(*ops.columns)
 
 
 def versions(ops: DataFrame, key: str = "_id", seq: str = "seq", op: str = "op") -> DataFrame:

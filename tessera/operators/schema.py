@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Mapping
 from typing import Any
 
@@ -11,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.filters import units
+from tessera.functions import documents as docs
+from tessera.functions.documents import units
+from tessera.functions.filters import Compiler
+from tessera.sources.files import Files
 
 #: Declared types (fixed values) and their Spark types.
 FIELD_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "date": "string", "enum": "string", "string[]": "array<string>", "number[]": "array<double>", "object": "variant", "autoIncrement": "long"}
+#: Bytes of a schema file, at most (fixed value).
+MAX_FILE = 10 * 1024 * 1024
 _OWNED_BY_CODE = ("type", "values", "maxLength", "pattern", "min", "max", "required", "default", "searchable")
 
 
@@ -37,21 +41,15 @@ def validate_schema(schema: Mapping[str, Any]) -> None:
             raise ValueError(f"{k} must be a list of names")
 
 
-def struct_of(schema: Mapping[str, Any]) -> T.StructType:
-    """Spark schema of a collection's records."""
-    ddl = ", ".join(f"`{n}` {FIELD_TYPES[f['type']]}" for n, f in schema["fields"].items())
-    return T.StructType.fromDDL(f"_id string, _version long, {ddl}" if ddl else "_id string, _version long")
-
-
-def violations(df: DataFrame, schema: Mapping[str, Any]) -> Column:
-    """Array of texts, one per rule that a row breaks; empty for valid rows."""
+def violations(df: DataFrame, schema: Mapping[str, Any], prefix: str = "") -> Column:
+    """Array of texts, one per rule that a row breaks; empty for valid rows. With a prefix the columns of ``df`` are fields of a struct."""
     found = []
     for name, f in schema["fields"].items():
         if name not in df.columns:
             if f.get("required"):
                 found.append(F.lit(f"{name}: required"))
             continue
-        c, t = F.col(f"`{name}`"), df.schema[name].dataType
+        c, t = F.col(f"{prefix}`{name}`"), df.schema[name].dataType
         say = lambda bad, what, name=name: found.append(F.when(bad, F.lit(f"{name}: {what}")))
         if f.get("required"):
             say(c.isNull(), "required")
@@ -75,13 +73,67 @@ def violations(df: DataFrame, schema: Mapping[str, Any]) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def with_defaults(df: DataFrame, schema: Mapping[str, Any]) -> DataFrame:
-    """Missing values filled: defaults, then auto-increment numbers above the highest one."""
-    for name, f in schema["fields"].items():
+_FITS: dict[str, Any] = {
+    "string": lambda k: k == "STRING", "enum": lambda k: k == "STRING", "date": lambda k: (k == "STRING") | k.startswith("TIMESTAMP") | (k == "DATE"), "number": docs.number_kind, "boolean": lambda k: k == "BOOLEAN",
+    "string[]": lambda k: k.isin("ARRAY<STRING>", "ARRAY<VOID>", "ARRAY<>"), "number[]": lambda k: k.rlike(r"^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL.*|VOID|)>$"), "object": lambda k: k.startswith("OBJECT"),
+}
+
+
+def doc_violations(rows: DataFrame, m: Column, schema: Mapping[str, Any], custom: tuple = ()) -> DataFrame:
+    """The rows with ``violations``: texts, one per rule that the map of fields ``m`` breaks. A value of another type than declared breaks one, whatever it could be cast to.
+
+    ``custom``: functions from the map to a text column that is null for valid records.
+    """
+    fields = schema.get("fields") or {}
+    wrong, typed = [], []
+    for name, f in fields.items():
+        v = F.try_element_at(m, F.lit(name))
+        fits = _FITS.get(f["type"])
+        there = ~docs.missing(v)
+        kind = F.schema_of_variant(v)
+        if fits is not None:
+            wrong.append(F.when(there & ~fits(kind), F.lit(f"{name}: not a {f['type']}")))
+        t = FIELD_TYPES[f["type"]]
+        # of another type: a value that no further rule looks at, but that is there
+        value = F.try_variant_get(v, "$", t) if t != "variant" else F.to_json(v)
+        typed.append((F.when(there & fits(kind), value) if fits is not None else value).alias(name))
+        if f.get("required"):
+            wrong.append(F.when(~there, F.lit(f"{name}: required")))
+    rules = {n: {k: x for k, x in f.items() if k != "required"} for n, f in fields.items() if f["type"] not in ("object", "autoIncrement")}
+    none = F.array().cast("array<string>")
+    inner = violations(rows.select(*typed), {"fields": rules}, "_typed.") if typed else none
+    flat = rows.withColumn("_typed", F.struct(*typed)) if typed else rows
+    own = [*wrong, *(c(m) for c in custom)]
+    return flat.withColumn("violations", F.array_compact(F.concat(F.array(*own) if own else none, inner))).drop("_typed")
+
+
+def filled(m: Column, schema: Mapping[str, Any]) -> Column:
+    """A map of fields with its values resolved, then missing ones filled by their defaults. Null is not missing.
+
+    A field's ``resolve`` is a function from its typed value to another one, its ``default`` a JSON value or a function that gives a column.
+    """
+    for name, f in (schema.get("fields") or {}).items():
+        if "resolve" in f:
+            old = F.try_element_at(m, F.lit(name))
+            new = f["resolve"](F.try_variant_get(old, "$", FIELD_TYPES[f["type"]]))
+            m = F.when(docs.missing(old), m).otherwise(docs.put(m, name, new.cast("variant")))
+    for name, f in (schema.get("fields") or {}).items():
         if "default" in f:
-            d = F.lit(f["default"]) if not isinstance(f["default"], list) else F.array(*map(F.lit, f["default"]))
-            df = df.withColumn(name, F.coalesce(F.col(name), d) if name in df.columns else d)
-    return df
+            d = f["default"]() if callable(f["default"]) else None
+            m = F.when(F.map_contains_key(m, name), m).otherwise(docs.put(m, name, docs.literal(f["default"]) if d is None else d.cast("variant")))
+    return m
+
+
+def persisted(schema: Mapping[str, Any]) -> dict:
+    """What of a schema can be stored: no functions, no patterns, no properties that say nothing."""
+    out = {k: schema[k] for k in ("name", "version", "description", "instructions", "tagField", "storageMode", "bm25") if schema.get(k) is not None}
+    out |= {k: list(schema[k]) for k in ("indexes", "compositeIndexes", "arrayIndexes") if schema.get(k)}
+    if schema.get("fields") is not None:
+        out["fields"] = {}
+        for n, f in schema["fields"].items():
+            kept = {k: f[k] for k in ("type", "default", "maxLength", "min", "max", "description", "searchable") if f.get(k) is not None and not callable(f[k])}
+            out["fields"][n] = kept | ({"required": True} if f.get("required") else {}) | ({"values": list(f["values"])} if f.get("values") else {})
+    return out
 
 
 def merge_schemas(code: Mapping[str, Any], stored: Mapping[str, Any] | None) -> tuple[dict, list[str]]:
@@ -138,6 +190,36 @@ def impact(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.agg(F.count("*").alias("total"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
 
 
+def impact_of(old: Mapping[str, Any], new: Mapping[str, Any], fields: Any) -> dict[str, Column]:
+    """For each change of a schema that records may break, by "field.property", the predicate of those records. ``fields`` is a filter compiler's set of fields."""
+    compile_ = Compiler(fields).compile
+    a, b, out = old.get("fields") or {}, new.get("fields") or {}, {}
+    for n in sorted({*a, *b}):
+        if n not in b:
+            out[f"{n}.removed"] = compile_({n: {"$exists": True}})
+            continue
+        f, g = a.get(n, {}), b[n]
+        if n in a and f.get("type") != g.get("type"):
+            out[f"{n}.type"] = compile_({n: {"$exists": True}})
+        if g.get("required") and not f.get("required"):
+            out[f"{n}.required"] = compile_({n: {"$exists": False}})
+        if gone := sorted(set(f.get("values") or []) - set(g.get("values") or [])) if "values" in g else []:
+            out[f"{n}.values"] = compile_({n: {"$in": gone}})
+        if "maxLength" in g and g["maxLength"] < f.get("maxLength", float("inf")):
+            out[f"{n}.maxLength"] = compile_({n: {"$strLen": {"$gt": g["maxLength"]}}})
+        if "min" in g and g["min"] > f.get("min", float("-inf")):
+            out[f"{n}.min"] = compile_({n: {"$lt": g["min"]}})
+        if "max" in g and g["max"] < f.get("max", float("inf")):
+            out[f"{n}.max"] = compile_({n: {"$gt": g["max"]}})
+    return out
+
+
+def sampled(df: DataFrame, size: int, seed: int = 1) -> DataFrame:
+    """A uniform sample of at most ``size`` rows, the same for the same seed and rows: the rows of the lowest hashes."""
+    h = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, t in df.dtypes if "variant" not in t and "map<" not in t))
+    return df.withColumn("_h", h).orderBy("_h").limit(size).drop("_h")
+
+
 def infer(df: DataFrame, doc: str, enum_threshold: int = 10, required_at: float = 0.95) -> DataFrame:
     """Per top-level field of JSON objects (text or VARIANT): field, type (null if mixed), present, distinct_values, max_length, required.
 
@@ -172,41 +254,23 @@ def sample_fields(df: DataFrame, doc: str, size: int = 50, key: str = "_id") ->
     return e.groupBy(F.col("key").alias("field")).agg(F.array_join(F.sort_array(F.collect_set(name)), " | ").alias("types"))
 
 
-def persist(schema: Mapping[str, Any], path: str) -> None:
-    """Write a schema file at once: a whole new one or the old one."""
-    validate_schema(schema)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(schema, f, indent=1, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
-
-
-def load(path: str) -> dict | None:
-    """A stored schema; None where there is none."""
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        schema = json.load(f)
-    validate_schema(schema)
-    return schema
-
-
-def load_files(paths: list[str], into: str) -> dict[str, list[str]]:
-    """Lay schema files over the stored ones: names loaded, skipped (nothing new) and failed, each file by itself."""
+def load_files(files: Files, paths: list[str], into: str) -> dict[str, list[str]]:
+    """Lay schema files over the stored ones, all below one root of any Hadoop file system: names loaded, skipped (nothing new) and paths failed, each by itself."""
     out: dict[str, list[str]] = {"loaded": [], "skipped": [], "failed": []}
     for p in paths:
         try:
-            if os.path.getsize(p) > 10 * 1024 * 1024:
+            if files.size(p) > MAX_FILE:
                 raise ValueError("file too large")
-            new = load(p)
+            new = json.loads(files.read(p))
+            validate_schema(new)
             at = f"{into}/{new['name']}.schema.json"
-            old = load(at)
+            old = json.loads(files.read(at)) if files.exists(at) else None
             merged = overlay(old, new) if old else new
             if merged == old:
                 out["skipped"].append(new["name"])
                 continue
-            persist(merged, at)
+            files.write(at, json.dumps(merged, sort_keys=True).encode())
             out["loaded"].append(new["name"])
-        except (ValueError, OSError, KeyError, TypeError):
+        except Exception:  # noqa: BLE001
             out["failed"].append(p)
     return out

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ def terms(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query."""
-    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    return sorted(set(regex.findall(TERM, query.lower())))
 
 
 def lengths(docs: DataFrame, text: Column, doc_id: str) -> DataFrame:
@@ -42,6 +41,19 @@ def and_search(docs: DataFrame, text: Column, query: str) -> Column | None:
     return F.size(F.array_except(F.array(*map(F.lit, q)), terms(text))) == 0 if q else None
 
 
+def score(n: Column, avgdl: Column, df: Column, tf: Column, dl: Column) -> Column:
+    """Part of a document's score that one term gives."""
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25_of_postings(found: DataFrame, n: int, total: int) -> DataFrame:
+    """id, score from the postings (id, term, tf, dl) of a query's terms, the number of all documents and the sum of their lengths."""
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df), "term")  # a row per term of the query
+    part = score(F.lit(n), F.lit(total / max(n, 1)), F.col("df"), F.col("tf"), F.col("dl"))
+    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+
+
 def bm25(docs: DataFrame, text: Column, doc_id: str, query: str) -> DataFrame:
     """id, score of documents with at least one term. Every document, also an empty one, counts for the mean length and the term weights.
 
@@ -62,6 +74,6 @@ def bm25(docs: DataFrame, text: Column, doc_id: str, query: str) -> DataFrame:
     scored = counted(hits).crossJoin(F.broadcast(stats))  # one row of totals
     parts = []
     for i in range(len(q)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        parts.append(F.when(F.col(f"tf{i}") > 0, idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0)))
+        part_score = score(F.col("n"), F.col("avgdl"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("dl"))
+        parts.append(F.when(F.col(f"tf{i}") > 0, part_score).otherwise(F.lit(0.0)))
     return scored.select("id", sum(parts[1:], parts[0]).alias("score"))

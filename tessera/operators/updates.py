@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import documents as docs
+
 #: Fields that updates leave alone (fixed values).
 PROTECTED = ("_id", "_version", "_agent", "_reason", "_expires", "_embedding", "__proto__", "constructor", "prototype")
 MAX_OPS = 100
@@ -58,35 +61,74 @@ def apply_update(df: DataFrame, update: Mapping[str, Mapping], when: Column | No
 
 def migrate(df: DataFrame, ops: list[Mapping[str, Any]], key: str = "_id") -> tuple[DataFrame, DataFrame]:
     """(records after up to 100 ordered ops set, unset, rename, default, copy; one row of counts: scanned, changed, unchanged)."""
+    whole = lambda d, names: F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(names))))
+    rows = df.withColumn("_old_record", whole(df, df.columns))  # the record as it was goes along, instead of a join
+    for kind, name, to, value in checked(ops):
+        if kind == "set":
+            rows = rows.withColumn(name, _lit(value))
+        elif kind == "unset":
+            rows = rows.drop(name)
+        elif kind == "default":
+            rows = rows.withColumn(name, F.coalesce(F.col(name), _lit(value)) if name in rows.columns else _lit(value))
+        elif name in rows.columns:
+            kept = F.coalesce(F.col(name), F.col(to)) if to in rows.columns else F.col(name)
+            rows = rows.withColumn(to, kept)
+            rows = rows.drop(name) if kind == "rename" else rows
+    same = F.col("_old_record") == whole(rows, [c for c in rows.columns if c != "_old_record"])
+    counts = rows.agg(F.count("*").alias("scanned"), F.count_if(~same).alias("changed"), F.count_if(same).alias("unchanged"))
+    return rows.drop("_old_record"), counts
+
+
+def checked(ops: list[Mapping[str, Any]]) -> list[tuple[str, str, str | None, Any]]:
+    """(kind, field, target, value) of ordered operations; ValueError for too many or none, unknown kinds and protected fields."""
     if not 0 < len(ops) <= MAX_OPS:
         raise ValueError(f"between 1 and {MAX_OPS} operations")
-    rows = df
+    out = []
     for o in ops:
         kind, name, to = o["op"], o.get("field") or o.get("from"), o.get("to")
+        if kind not in ("set", "unset", "rename", "default", "copy"):
+            raise ValueError(f"Unknown migrate operation: {kind}")
         if name in PROTECTED or to in PROTECTED:
             raise ValueError(f"protected field: {name if name in PROTECTED else to}")
+        out.append((kind, name, to, o.get("value")))
+    return out
+
+
+def fold_migrate(m: Column, ops: list[Mapping[str, Any]]) -> Column:
+    """A map of fields after the operations: every field keeps its type, and fields that no operation names stay. A default fills a missing field, not null."""
+    for kind, name, to, value in checked(ops):
+        old = F.try_element_at(m, F.lit(name))
         if kind == "set":
-            rows = rows.withColumn(name, _lit(o["value"]))
+            m = docs.put(m, name, docs.literal(value))
         elif kind == "unset":
-            rows = rows.drop(name)
+            m = docs.put(m, name, None)
         elif kind == "default":
-            rows = rows.withColumn(name, F.coalesce(F.col(name), _lit(o["value"])) if name in rows.columns else _lit(o["value"]))
-        elif kind in ("rename", "copy"):
-            if name in rows.columns:
-                value = F.coalesce(F.col(name), F.col(to)) if to in rows.columns else F.col(name)
-                rows = rows.withColumn(to, value)
-                rows = rows.drop(name) if kind == "rename" else rows
+            m = F.when(F.map_contains_key(m, name), m).otherwise(docs.put(m, name, docs.literal(value)))
         else:
-            raise ValueError(f"Unknown migrate operation: {kind}")
-    whole = lambda d: F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(d.columns))))
-    # old and new text stand side by side in one row where no column is lost by name
-    side = df.select(F.col(key), whole(df).alias("_old")).join(rows.select(F.col(key), whole(rows).alias("_new")), key)
-    counts = side.agg(F.count("*").alias("scanned"), F.count_if(F.col("_old") != F.col("_new")).alias("changed"), F.count_if(F.col("_old") == F.col("_new")).alias("unchanged"))
-    return rows, counts
-
-
-def stamp(df: DataFrame, agent: str | None = None, reason: str | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """_version one higher (1 for new rows), with agent, reason and expiry."""
-    old = F.coalesce(F.col("_version"), F.lit(0)) if "_version" in df.columns else F.lit(0)
-    rows = df.withColumn("_version", (old + 1).cast("long")).withColumn("_agent", F.lit(agent)).withColumn("_reason", F.lit(reason))
-    return rows.withColumn("_expires", (F.unix_millis(F.current_timestamp()) + ttl_ms) if ttl_ms else F.lit(None).cast("long"))
+            moved = docs.put(docs.put(m, name, None) if kind == "rename" else m, to, old)
+            m = F.when(F.map_contains_key(m, name), moved).otherwise(m)
+    return m
+
+
+def fold_update(m: Column, update: Mapping[str, Mapping]) -> Column:
+    """A map of fields after $set, $unset, $inc, $push in this order; top-level names only, protected ones are skipped."""
+    if unknown := set(update) - {"$set", "$unset", "$inc", "$push"}:
+        raise ValueError(f"Unknown update operator: {sorted(unknown)[0]}")
+    free = {op: {k: v for k, v in (update.get(op) or {}).items() if k not in PROTECTED} for op in ("$set", "$unset", "$inc", "$push")}
+    for k, v in free["$set"].items():
+        m = docs.put(m, k, docs.literal(v))
+    for k in free["$unset"]:
+        m = docs.put(m, k, None)
+    for k, v in free["$inc"].items():
+        old = F.try_element_at(m, F.lit(k))
+        total = F.try_variant_get(old, "$", "double") + float(v)
+        plain = F.when((total == F.floor(total)) & (F.abs(total) < 1e15), total.cast("long").cast("string")).otherwise(total.cast("string"))
+        wrong = F.raise_error(F.lit(f"Cannot $inc non-number field: {k}")).cast("variant")
+        m = docs.put(m, k, F.when(docs.missing(old), docs.literal(v)).when(docs.number_kind(F.schema_of_variant(old)), F.parse_json(plain)).otherwise(wrong))
+    for k, v in free["$push"].items():
+        old = F.try_element_at(m, F.lit(k))
+        items = F.try_variant_get(old, "$", "array<variant>")
+        grown = F.parse_json(F.concat(F.lit("["), F.array_join(F.concat(F.transform(items, lambda e: F.coalesce(F.to_json(e), F.lit("null"))), F.array(F.lit(json.dumps(v)))), ","), F.lit("]")))
+        wrong = F.raise_error(F.lit(f"Cannot $push to non-array field: {k}")).cast("variant")
+        m = docs.put(m, k, F.when(docs.missing(old), docs.literal([v])).when(F.schema_of_variant(old).startswith("ARRAY"), grown).otherwise(wrong))
+    return m

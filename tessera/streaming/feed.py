@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -34,6 +34,6 @@ def change_events(ops: DataFrame, collection: str) -> DataFrame:
     return rows.select(F.lit("db_change").alias("event"), F.lit(collection).alias("collection"), "type", "ids", "agent", "seq")
 
 
-def windowed_counts(spark: SparkSession, events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
+def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts per window and key of a stream with late events (an extension)."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))

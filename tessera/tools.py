@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.database import Database, allowed
+from tessera.functions.filters import VariantFields
 from tessera.operators import schema as schemas
-from tessera.operators.updates import migrate
 
 #: At most so many rows of a result are handed to a caller.
 PAGE = 10_000
@@ -57,28 +57,30 @@ def _batch(db: Database, a: dict) -> dict:
 
 
 def _migrate(db: Database, a: dict) -> dict:
-    """Ordered operations on the matching records, typed by the collection's schema or read as texts."""
-    c = db.collection(a["collection"])
-    rows = c._docs()
-    rows = rows.where(c._predicate(rows, _where(a)))
-    fields = (c.schema_def or {}).get("fields") or {r["field"]: {"type": "string"} for r in c.schema(1000).collect()}
-    flat = rows.select("_id", F.from_json("text", ", ".join(f"`{n}` {schemas.FIELD_TYPES[f['type']].replace('variant', 'string')}" for n, f in fields.items())).alias("d")).select("_id", "d.*")
-    new, counts = migrate(flat, a["operations"])
-    done = counts.collect()[0].asDict()
-    if not a.get("dryRun"):
-        c._set(c._frame(new), "update", agent=a.get("agent"), reason=a.get("reason"))
-    return done
+    """Ordered operations on the matching records."""
+    mut = {k: a[k] for k in ("agent", "reason") if a.get(k) is not None}
+    return db.collection(a["collection"]).migrate(_where(a), a.get("ops") or a["operations"], bool(a.get("dryRun")), **mut)
 
 
 def _diff(db: Database, a: dict) -> dict:
+    """Changes that a schema would make, with their severity, and how many records each concerns, counted in one pass."""
     old = db.load_schema(a["collection"]) or {"fields": {}}
     new = schemas.overlay(old, a["schema"])
-    return {"changes": schemas.diff_schemas(old, new)}
+    out: dict = {"changes": schemas.diff_schemas(old, new)}
+    if a.get("includeImpact", True):
+        rows = db.collection(a["collection"]).find_all()
+        out["impact"] = schemas.impact(rows, schemas.impact_of(old, new, VariantFields("doc", {"_id": "string", "_version": "number"}))).collect()[0].asDict()
+    return out
 
 
 def _infer(db: Database, a: dict) -> dict:
-    rows = schemas.infer(db.collection(a["collection"])._docs(), "doc", a.get("enumThreshold", 10)).orderBy("field").collect()
-    return {"fields": {r["field"]: {k: r[k] for k in ("type", "present", "distinct_values", "max_length", "required")} for r in rows}}
+    """Fields with their types, of all records or of a sample; notes on fields whose type isn't one."""
+    docs = db.collection(a["collection"]).find_all()
+    docs = schemas.sampled(docs, a["sampleSize"]) if a.get("sampleSize") else docs
+    rows = schemas.infer(docs, "doc", a.get("enumThreshold", 10)).orderBy("field").collect()
+    typed = [r for r in rows if r["type"] is not None and r["type"] != "other"]
+    notes = [f"Field '{r['field']}' skipped: values of several or unknown types" for r in rows if r not in typed]
+    return {"fields": {r["field"]: {k: r[k] for k in ("type", "present", "distinct_values", "max_length", "required")} for r in typed}, "notes": notes}
 
 
 def _vector(db: Database, a: dict) -> dict:
