@@ -63,7 +63,16 @@ d AS (SELECT query_id, item_id, sqrt(sum((1 - v) * (1 - v)) + any_value(k) - cou
 c AS (SELECT query_id, item_id, round(CASE WHEN i + a > 0 THEN a / (i + a) ELSE 1 END, 12) AS closeness, round(u, 12) AS u FROM d)
 """
 
+_VECTORS = """
+WITH r AS (SELECT vec_id, coalesce(vec::DOUBLE[], embedding::DOUBLE[]) AS v FROM record_vectors WHERE vec_id IS NOT NULL),
+v AS (SELECT DISTINCT vec_id, v FROM r WHERE len(v) = 96 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id, b.vec_id AS near_id, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, near_id) <= 5)
+SELECT DISTINCT least(vec_id, near_id) AS vec_id, greatest(vec_id, near_id) AS near_id FROM n
+"""
+
 SQL = {
+    "p4_found": _VECTORS,
     "p5_found": _FUSED + "SELECT query_id, item_id FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, u DESC, item_id) <= 3",
     "p5_closeness": _FUSED + "SELECT query_id, item_id, round(closeness, 6) AS closeness FROM c",
 }

@@ -1,6 +1,6 @@
 """Texts that lost their end: near-copies that go on, and ends that no whole text has.
 
-Texts are reduced to what their end and their likeness need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
+Texts are reduced to what their end, their likeness and the statistics of words need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
 found by banded min-hashes over shingles of five words, for texts of few words also of five letters; each text, however it ends, meets the next longer ones of its buckets, some in each round, until a
 longer copy gives a verdict or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
 inside a sentence or line of the other is cut. Texts without such a copy are judged by their last line: its form (prose, list, log, JSON, code, sign-off)
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +30,15 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 FEW = 8 * SHINGLE
 #: Longer texts of a bucket that a text meets in the first round; each later round takes four times as many, up to the last.
 NEXT, NEXT_MOST = 4, 256
+#: Words and tokens remembered by a worker, at most.
+MEMORY = 400_000
 #: Last words of the short text that are aligned with the long one.
 TAIL = 400
 #: Below this share of closing occurrences in list items a word doesn't end one.
 CLOSES = 0.05
-#: Words before a mark like "..." are a phrase of its own if so many texts end so and no more sentences begin so and go on.
-PHRASES = 3
+#: Words before a mark like "..." are a phrase of its own if of the texts with a sentence that begins so most end with the mark there: the lower bound of
+#: that share, at this many deviations, is one half.
+SURE = 1.645
 #: A number's shape, or any word, after a certain word closes nothing if it does so in less than this share of at least so many cases.
 NEVER, SEEN = 0.004, 100
 
@@ -48,13 +51,26 @@ _FIELD = re.compile(r"^[^\W\d_][\w -]{0,24}:[ \t]+\S+(?:[ \t]*,?[ \t]*\S+){0,3}$
 _RULE = re.compile(r"^[ \t]*([-=*_~#.·])\1{2,}[ \t]*$")
 _LOG = re.compile(r"^[ \t]*\[?(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d")
 _JSON = re.compile(r"^\s*(?:\[\s*[\[{\"\]]|\{\s*[\"}])")
-_TOKEN = re.compile(r"\S+")
 _RUN = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _NUMBER = re.compile(r"^[(\[“\"']?\d[\d.,:/-]*$")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*("|$)', re.S)
 
 
+class _Memo(dict):
+    """A function's values, kept for at most MEMORY arguments."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, x):
+        if len(self) >= MEMORY:
+            self.clear()
+        v = self[x] = self.f(x)
+        return v
+
+
 def _bare(text: str) -> list[str]:
     """Lines of the text without white space, rules, emoji and other symbols after its end."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -169,73 +185,77 @@ def _listed(line: str, others: list[str]) -> tuple[str, str]:
     return "list", word
 
 
-def closings(text: str, into: Counter) -> None:
-    """Count every word, number after a word, and word after a word of a text but its last token: (kind, key) all and closing."""
+def _token(t: str) -> tuple[bool, bool, bool, str, str, bool]:
+    """Of a token: whether it ends with a stop, whether its core does, whether that is a number, its shape, the last word it holds, whether a word ends it."""
+    core = t.rstrip(_CLOSERS)
+    ends = core[-1:] in _END if core else False
+    number = bool(_NUMBER.match(core.rstrip(_END + ",;") or "-"))
+    found = _LETTERS.findall(core)
+    whole = bool(found) and core.rstrip(_END + ",;:").endswith(found[-1]) and not ends and core[-1:] not in ",;:"
+    return t[-1] in _END, ends, number, _shape(core) if number else "", found[-1].lower() if found else "", whole
+
+
+_TOKENS = _Memo(_token)
+
+
+def closings(text: str, into: dict) -> list[str]:
+    """Count every word, number after a word, and word after a word of a text but its last token: (kind, key) -> [all, closing].
+
+    Gives the first two words of the text's sentences, but of one that ends it before a mark.
+    """
     lines = _bare(text)
     if not lines or _JSON.match(lines[0]):
-        return
-    mark = _MARK.search(lines[-1])
-    if mark:
-        into["mark", _fragment(lines[-1][: mark.start()].rstrip()), True] += 1
+        return []
+    starts, marked = [], bool(_MARK.search(lines[-1]))
     for i, line in enumerate(lines):
         final = i == len(lines) - 1
-        tokens = _TOKEN.findall(line)
         if _BULLET.match(line):
             ws = [t.lower() for t in _LETTERS.findall(line)]
             for j, w in enumerate(ws[:-1] if final else ws):
-                into["list", w, j == len(ws) - 1] += 1
+                n = into["list", w]
+                n[0] += 1
+                n[1] += j == len(ws) - 1
             continue
-        before, begins = "", True
+        tokens = line.split()
+        before, begins, first = "", True, len(starts)
         for j, t in enumerate(tokens[:-1] if final else tokens):
             if begins and j + 2 < len(tokens):
-                into["start", f"{t} {tokens[j + 1]}".lower(), False] += 1
-            begins = t[-1] in _END
-            core = t.rstrip(_CLOSERS)
-            ends = core[-1:] in _END if core else False
-            if _NUMBER.match(core.rstrip(_END + ",;") or "-"):
+                starts.append(f"{t} {tokens[j + 1]}".lower())
+            begins, ends, number, shape, w, whole = _TOKENS[t]
+            if number:
                 if before:
-                    into["number", f"{before} {_shape(core)}", ends] += 1
-                    into["after", before, ends] += 1
+                    n = into["number", f"{before} {shape}"]
+                    n[0] += 1
+                    n[1] += ends
+                    n = into["after", before]
+                    n[0] += 1
+                    n[1] += ends
                 before = ""
                 continue
-            found = _LETTERS.findall(core)
-            w = found[-1].lower() if found and core.rstrip(_END + ",;:").endswith(found[-1]) else ""
-            if before and found:
-                into["after", before, ends] += 1
-            before = "" if ends or not w or core[-1:] in ",;:" else w
-
+            if before and w:
+                n = into["after", before]
+                n[0] += 1
+                n[1] += ends
+            before = w if whole else ""
+        if final and marked and len(starts) > first:
+            starts.pop()
+    return starts
 
-def terminality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind, key, n, closing: how often each closing word occurs in all texts, and how often it closes a sentence or line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+_MULTIPLY = np.random.default_rng(3).integers(1, 2**63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
-        def out() -> pd.DataFrame:
-            both: dict[tuple[str, str], list[int]] = {}
-            for (kind, key, closing), n in seen.items():
-                both.setdefault((kind, key), [0, 0])[closing] += n
-            seen.clear()
-            return pd.DataFrame([(k, w, a + b, b) for (k, w), (a, b) in both.items()], columns=["kind", "key", "n", "closing"])
 
-        for batch in batches:
-            for t in batch["t"]:
-                closings(t, seen)
-            if len(seen) > 500_000:
-                yield out()
-        if seen:
-            yield out()
+def _hash(word: str) -> int:
+    b = word.encode("utf-8", "surrogatepass")
+    return zlib.crc32(b) | zlib.adler32(b) << 32
 
-    parts = docs.select(F.col(text).cast("string").alias("t")).where("t is not null and t <> ''").mapInPandas(run, "kind string, key string, n long, closing long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("closing").alias("closing"))
 
-
-_MULTIPLY = np.random.default_rng(3).integers(1, 2**63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+_HASHES = _Memo(_hash)
 
 
 def shingle_hashes(w: list[str]) -> np.ndarray:
     """Distinct hashes of the shingles of five words; of fewer words, one of them all."""
-    h = np.fromiter((zlib.crc32(x.encode()) | zlib.adler32(x.encode()) << 32 for x in w), np.uint64, len(w))
+    h = np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
     total = np.zeros(max(1, len(h) - SHINGLE + 1), np.uint64)
     for i in range(min(SHINGLE, len(h))):
         total = (total ^ h[i : i + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -243,9 +263,8 @@ def shingle_hashes(w: list[str]) -> np.ndarray:
     return np.unique(total)
 
 
-def bands(w: list[str]) -> list[int]:
-    """One hash per band of the min-hashes of a text's shingles."""
-    s = shingle_hashes(w)
+def bands(s: np.ndarray) -> list[int]:
+    """One hash per band of the min-hashes of a text's shingle hashes."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
         x = s[i : i + 4096, None] * _MULTIPLY[0] + _MULTIPLY[1]
@@ -334,18 +353,68 @@ def _beyond(short: str, long: str) -> str | None:
     return rest[i:]
 
 
+def _start(phrase: str) -> int:
+    """Hash of the first two words of a sentence."""
+    return int(np.uint64(_hash(" ".join(phrase.split(" ")[:2]))).view(np.int64))
+
+
+_PROFILE = "doc_id long, kind string, key string, size int, shingles int, letters int, bands array<long>, start long, starts array<long>, n long, closing long"
+
+
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, text) -> a row per text, and rows without doc_id: how often closing words (kind, key) occur, and how often they close a sentence or line."""
+    columns = [c.split()[0] for c in _PROFILE.split(", ")]
+    seen: defaultdict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+
+    def counts() -> pd.DataFrame:
+        rows = [(None, k, w, 0, 0, 0, None, None, None, *n) for (k, w), n in seen.items()]
+        seen.clear()
+        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "start": "Int64"})
+
     for batch in batches:
         out = []
         for d, t in zip(batch["doc_id"], batch["text"]):
             kind, key = judge(t)
             w = words(t)
+            by_word, by_letter = shingle_hashes(w), shingle_hashes(list("".join(w))) if len(w) < FEW else ()
             # the bands of letters follow those of words
-            letters = "".join(w)
-            by_word = bands(w) if len(w) >= 2 * SHINGLE else [None] * BANDS
-            by_letter = bands(list(letters)) if len(w) < FEW and len(letters) >= 2 * SHINGLE else [None] * BANDS
-            out.append((d, kind, key, len(t or ""), len(shingle_hashes(w)), len(shingle_hashes(list(letters))) if len(w) < FEW else 0, by_word + by_letter))
-        yield pd.DataFrame(out, columns=["doc_id", "kind", "key", "size", "shingles", "letters", "bands"])
+            found = bands(by_word) if len(w) >= 2 * SHINGLE else [None] * BANDS
+            found = found + (bands(by_letter) if len(w) < FEW and sum(map(len, w)) >= 2 * SHINGLE else [None] * BANDS)
+            starts = {_start(x) for x in closings(t, seen)} if t else ()
+            out.append((d, kind, key, len(t or ""), len(by_word), len(by_letter), found, _start(key) if kind == "mark" else None, list(starts), 0, 0))
+        yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "start": "Int64"})
+        if len(seen) > 500_000:
+            yield counts()
+    if seen:
+        yield counts()
+
+
+def phrase_of_its_own(n: Column, others: Column) -> Column:
+    """Whether n of n + others is surely most (Wilson's lower bound)."""
+    m, z = n + others, SURE
+    p = n / m
+    low = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    return F.coalesce(low >= 0.5, F.lit(False))
+
+
+def _answers(own: DataFrame, stats: DataFrame) -> DataFrame:
+    """kind, key, open: whether the ends of the representatives that ask so are open, by all texts."""
+    asked = own.where("key <> '' and kind <> 'mark'").select("kind", "key").distinct()
+    # numbers of any shape after a word, to compare one shape with
+    shapes = stats.where("kind = 'number'").groupBy(F.substring_index("key", " ", 1).alias("before")).agg(F.sum("closing").alias("others"))
+    counts = stats.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("closing").alias("closing"))
+    answers = asked.join(counts, ["kind", "key"], "left").withColumn("before", F.when(F.col("kind") == "number", F.substring_index("key", " ", 1))).join(shapes, "before", "left")
+    answers = answers.select("kind", "key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "closing", "others")))
+    open_end = (
+        F.when(F.col("kind") == "list", F.col("closing") < CLOSES * F.greatest("n", F.lit(1)))
+        .when(F.col("kind") == "number", (F.col("others") >= SEEN) & (F.col("closing") < NEVER * F.col("others")))
+        .otherwise((F.col("n") >= SEEN) & (F.col("closing") < NEVER * F.col("n")))
+    )
+    # a phrase before a mark: classes of copies that end so, against those with another sentence that begins so
+    marks = own.where("kind = 'mark'").groupBy("kind", "key", "start").agg(F.count("*").alias("n"))
+    begun = own.select(F.explode("starts").alias("start")).join(marks.select("start").distinct(), "start", "left_semi").groupBy("start").agg(F.count("*").alias("others"))
+    marks = marks.join(begun, "start", "left").select("kind", "key", (~phrase_of_its_own(F.col("n"), F.coalesce("others", F.lit(0)))).alias("open"))
+    return answers.select("kind", "key", open_end.alias("open")).unionByName(marks)
 
 
 def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -404,25 +473,11 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     classes = keyed.groupBy("doc_id").agg(F.max("h").alias("h"))
     heads = classes.groupBy("h").agg(F.min("doc_id").alias("head"))
     heads = written(heads, "classes")
-    profiles = written(rows.mapInPandas(_profile, "doc_id long, kind string, key string, size int, shingles int, letters int, bands array<long>"), "profiles")
+    profiles = written(rows.mapInPandas(_profile, _PROFILE), "profiles")
     # representatives only: a row's own id is its class's
-    own = profiles.join(heads.select(F.col("head").alias("doc_id"), "h"), "doc_id").dropDuplicates(["doc_id"])
-    stats = written(terminality(rows), "terminality")  # read three times below
-    # numbers of any shape after a word, to compare one shape with
-    shapes = stats.where("kind = 'number'").groupBy(F.lit("number").alias("kind"), F.substring_index("key", " ", 1).alias("before")).agg(F.sum("closing").alias("others"))
-    # sentences that begin like a phrase before a mark, and go on
-    starts = stats.where("kind = 'start'").select(F.lit("mark").alias("kind"), F.col("key").alias("before"), F.col("n").alias("others"))
-    asked = own.where("key <> ''").select("kind", "key").distinct()
-    before = F.when(F.col("kind") == "number", F.substring_index("key", " ", 1)).when(F.col("kind") == "mark", F.substring_index("key", " ", 2))
-    answers = asked.join(stats, ["kind", "key"], "left").withColumn("before", before).join(shapes.unionByName(starts), ["kind", "before"], "left")
-    answers = answers.select("kind", "key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "closing", "others")))
-    open_end = (
-        F.when(F.col("kind") == "list", F.col("closing") < CLOSES * F.greatest("n", F.lit(1)))
-        .when(F.col("kind") == "mark", (F.col("n") < PHRASES) | (F.col("others") > F.col("n")))
-        .when(F.col("kind") == "number", (F.col("others") >= SEEN) & (F.col("closing") < NEVER * F.col("others")))
-        .otherwise((F.col("n") >= SEEN) & (F.col("closing") < NEVER * F.col("n")))
-    )
-    answers = written(answers.select("kind", "key", open_end.alias("open")), "answers")
+    own = profiles.where("doc_id is not null").join(heads.select(F.col("head").alias("doc_id"), "h"), "doc_id").dropDuplicates(["doc_id"])
+    own = written(own.drop("n", "closing"), "own")
+    answers = written(_answers(own, profiles.where("doc_id is null").select("kind", "key", "n", "closing")), "answers")
     judged = lookup(own, answers, ["kind", "key"]).join(_copies(own, rows), "doc_id", "left")
     by_end = (F.col("kind") == "cut") | F.coalesce("open", F.lit(False))
     cut = F.when(F.col("verdict") == 1, True).when(F.col("verdict") == -1, False).otherwise(by_end)

@@ -43,6 +43,42 @@ def test_neighbours_in_groups_of_copies(spark):
     assert got == brute(rows, 5)
 
 
+@pytest.mark.parametrize("part", [48_000, 300])
+def test_neighbours_of_one_direction_in_many_lengths(spark, monkeypatch, part):
+    monkeypatch.setattr(vectors, "PART_ROWS", part)
+    rng = np.random.default_rng(12)
+    same, twin = rng.normal(size=24).astype(np.float32), rng.normal(size=24).astype(np.float32)
+    rows = {i: (same * np.float32(rng.uniform(0.01, 100)) if i % 3 else twin * np.float32(2.0 ** rng.integers(-9, 9)) if i % 2 else rng.normal(size=24)).astype(np.float32) for i in range(3000)}
+    df = spark.createDataFrame([(i, [float(x) for x in v], None, None) for i, v in rows.items()], SCHEMA)
+    found = vectors.neighbours(vectors.vectors_of(df, 24), 5).collect()
+    want = brute(rows, 5)
+    assert {(r["vec_id"], r["near_id"]) for r in found} == want and len(found) == len(want)
+
+
+def test_centroids_of_two_levels(spark, monkeypatch):
+    for name, n in (("CELL_ROWS", 60), ("MAX_CELLS", 8), ("BLOCK_ROWS", 40)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 24))
+    rows = {i: (centres[i % 60] + 0.15 * rng.normal(size=24)).astype(np.float32) for i in range(2400)}
+    df = vectors.vectors_of(spark.createDataFrame([(i, [float(x) for x in v], None, None) for i, v in rows.items()], SCHEMA), 24).withColumn("asks", F.lit(True))
+    index = vectors.members(df, 2400)
+    homes = [r["vec_id"] for r in index.where("home").select("vec_id").collect()]
+    assert sorted(homes) == list(range(2400)) and index.select("cell").distinct().count() > 8
+    got = {(r["vec_id"], r["near_id"]) for r in vectors.neighbours(df, 5).collect()}
+    want = brute(rows, 5)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_a_dense_crowd_is_compared_in_parts(monkeypatch):
+    monkeypatch.setattr(vectors, "PAIRS", 5000)
+    rng = np.random.default_rng(22)
+    v = np.ones((900, 24)) + 1e-4 * rng.normal(size=(900, 24))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b, _ = vectors.scan(u, np.arange(900), np.ones(900, bool), 5)
+    assert set(zip(a.tolist(), b.tolist())) == brute(dict(enumerate(v)), 5)
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(1, None, [1, 2], None), (2, [2.0, 4.1], None, None), (3, [0.0, 1.0], None, None)], SCHEMA)
     v = vectors.vectors_of(df, 2)
@@ -251,5 +287,5 @@ def test_min_hash_finds_similar_texts():
     for _ in range(40):
         a = _sentence(rng, 200)
         b = a[:175]
-        found += bool(set(enumerate(truncation.bands(a))) & set(enumerate(truncation.bands(b))))
+        found += bool(set(enumerate(truncation.bands(truncation.shingle_hashes(a)))) & set(enumerate(truncation.bands(truncation.shingle_hashes(b)))))
     assert found >= 39
