@@ -682,6 +682,13 @@ class Collection:
         found = knn.nearest(self._vectors(), "vec", "_id", vector, candidate_limit or fusion.candidates(limit))
         return self._scored(found, where, limit, summary)
 
+    def append_vectors(self, rows: DataFrame) -> None:
+        """Replace records by rows of a DataFrame of any size: _id, vector, and fields."""
+        self._guard()
+        new = self._frame(rows.drop("vector")).join(rows.select(F.col("_id").cast("string").alias("_id"), knn.quantize(F.col("vector")).alias("_embedding")), "_id")
+        new = new.join(self.stored().select("_id", F.col("_version").alias("_old")), "_id", "left")
+        self._commit(new.select("_id", "n", "doc", F.lit("set").alias("op"), (F.coalesce("_old", F.lit(0)) + 1).alias("_version"), "_embedding"), "upsert")
+
     def insert_vector(self, record: str, vector: list[float], metadata: Mapping[str, Any] | None = None) -> None:
         """Replace the record by its metadata and a quantised vector, of the dimension of those stored."""
         self._guard()
@@ -757,7 +764,8 @@ class Collection:
 
     def _write_bloom(self, name: str, how: list, rows: DataFrame) -> None:
         col = rows.select(F.to_json(F.try_variant_get("doc", f"$.{name}", "variant")).alias("v")).na.drop()
-        found = col._jdf.stat().bloomFilter("v", int(how[0]), float(how[1]))
+        sketch = self.spark.sparkContext._jvm.org.apache.spark.util.sketch.BloomFilter
+        found = sketch.create(int(how[0]), float(how[1])) if col.isEmpty() else col._jdf.stat().bloomFilter("v", int(how[0]), float(how[1]))
         out = self.spark.sparkContext._jvm.java.io.ByteArrayOutputStream()
         found.writeTo(out)
         self.files.write(f"bloom/{check_name(name)}", bytes(out.toByteArray()))

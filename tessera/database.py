@@ -89,8 +89,8 @@ class Database:
 
     def persist_schema(self, name: str, schema: Mapping[str, Any]) -> dict:
         self._guard()
-        old, schema = self.load_schema(name), schemas.persisted({**schema, "name": name})
-        merged = schemas.overlay(old, schema) if old else schema
+        old = self.load_schema(name)
+        merged = schemas.persisted({**(schemas.overlay(old, schema) if old else schema), "name": name})
         schemas.validate_schema(merged)
         self.files.write(f"meta/{check_name(name)}.schema.json", json.dumps(merged, sort_keys=True).encode())
         self._open.pop(name, None)
