@@ -31,9 +31,9 @@ CELL_ROWS, MAX_CELLS, SAMPLE_PER_CELL = 4000, 2048, 48
 PROBES, MARGIN = 6, 0.1
 #: Rows at home that one task scans at most, on average.
 BLOCK_ROWS = 12_000
-#: Vectors are of one class if their largest values agree in position and the others, as shares of these, to one part in GRID, and their cosine with the
-#: class's first one is above SAME: then all their cosines round to 1 at 9 decimals.
-GRID, SAME = 65_536, 1 - 1e-12
+#: Vectors are of one class if HASHED of their numbers, as shares of the largest of these, agree to one part in GRID, and their cosine with the class's first
+#: one is above SAME: then all their cosines round to 1 at 9 decimals.
+HASHED, GRID, SAME = 8, 65_536, 1 - 1e-12
 #: Candidates that one task holds at most, on average, where classes leave more of them than vectors that ask.
 PART_ROWS = 48_000
 #: Candidate pairs that a task compares at once, at most (unless one vector has more).
@@ -49,16 +49,14 @@ def usable(vec: Column, dims: int) -> Column:
 
 
 def vectors_of(rows: DataFrame, dims: int = 96, vec_id: str = "vec_id", vec: str = "vec", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v (array of float), h (hash of its direction, rounded), x (hash of all its digits): vec, or embedding where vec is null; unusable vectors and null ids are left out."""
+    """vec_id, v (array of float), h (hash of its direction): vec, or embedding where vec is null; unusable vectors and null ids are left out."""
     v = F.coalesce(F.col(vec).cast("array<float>"), F.col(embedding).cast("array<float>"))
     out = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"), dims))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    at = F.transform("v", lambda x: F.round(x.cast("double") / F.col("_top") * GRID).cast("int"))
-    out = out.withColumn("_top", top).withColumn("_g", at)
-    # lengths that differ by a power of two leave all digits as they are
-    digits = F.transform("v", lambda x: (x.cast("double") / F.pow(F.lit(2.0), F.floor(F.log2("_top")))))
-    hashed = lambda c: F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b"))
-    return out.withColumn("_d", digits).select("vec_id", "v", hashed("_g").alias("h"), hashed("_d").alias("x"))
+    # some of the numbers do: what they bring together is compared whole
+    some = F.array(*(F.col("v")[i].cast("double") for i in range(0, dims, max(1, dims // HASHED))))
+    top = F.array_max(F.transform(some, lambda x: F.abs(x)))
+    at = F.transform(some, lambda x: F.round(x / F.col("_top") * GRID).cast("int"))
+    return out.withColumn("_top", top).select("vec_id", "v", F.xxhash64(at).alias("h"))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -327,10 +325,14 @@ def neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
     the same numbers counts once. Fewer than two vectors: no rows. Any number of vectors may share a direction: of each such class k + 1 are searched for,
     and the others are given what its first one found at similarity 1, and that one.
     """
-    big = checkpointed(vectors.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("vec_id", "v")).alias("head")).where(F.col("copies") > k + 1))
+    big = checkpointed(vectors.groupBy("h").agg(F.count("*").alias("copies"), F.min("vec_id").alias("head_id")).where(F.col("copies") > k + 1))
     if big.isEmpty():
         return _searched(vectors.withColumn("asks", F.lit(True)), k, vectors.count())
-    split = lookup(vectors, big, "h").withColumn("_in", F.col("head").isNotNull() & F.coalesce(cosine(F.col("v"), F.col("head.v")) > SAME, F.lit(False)))
+    heads = lookup(vectors, big.select("h", "head_id"), "h").where(F.col("vec_id") == F.col("head_id")).groupBy("h").agg(F.min("v").alias("head"))
+    split = lookup(vectors, checkpointed(heads), "h").withColumn("_in", F.col("head").isNotNull() & F.coalesce(cosine(F.col("v"), F.col("head")) > SAME, F.lit(False)))
+    # lengths that differ by a power of two leave all digits as they are
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))))
+    split = split.withColumn("x", F.when(F.col("_in"), F.xxhash64(F.transform("v", lambda x: x.cast("double") / scale))))
 
     def first(*by: str) -> DataFrame:
         # this limit of ranks is applied before the shuffle, too
