@@ -2,7 +2,7 @@
 
 A pre-token is encoded left to right. For every prefix of its bytes exactly one token can be the last of the prefix's encoding: the one among the tokens
 that end there which is compatible with the last token of the prefix before it. Tokens that end at a position come from an automaton over the
-vocabulary; two tokens are compatible if the merges of the vocabulary, applied to their joined bytes, give back the two. The last tokens are stored for
+vocabulary (an Aho-Corasick automaton: it reports all tokens that are suffixes of the prefix, as the suffix automaton would); two tokens are compatible if the merges of the vocabulary, applied to their joined bytes, give back the two. The last tokens are stored for
 all prefixes, and the back-pointers from the end spell the ids. Time is linear in the text, also for pre-tokens without any break.
 """
 
@@ -132,12 +132,19 @@ def encoder(path: str) -> Encoder:
 
 
 def token_ids(text: Column, path: str | None = None) -> Column:
-    """Column of the ids of a text column; null and empty texts both give an empty list. ``path`` must be readable by the executors."""
+    """Column of the ids of a text column; null and empty texts both give an empty list. The vocabulary file is sent to the executors with the application's files."""
+    from pyspark import SparkFiles
+    from pyspark.sql import SparkSession
+
     where = path or vocabulary_path()
+    sc = SparkSession.active().sparkContext
+    name = os.path.basename(where)
+    if name not in {os.path.basename(x) for x in sc.listFiles}:
+        sc.addFile(where)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(where)
+        own = encoder(SparkFiles.get(name))
         for texts in batches:
             yield pd.Series([own.encode(t) if t else [] for t in texts], dtype=object)
 

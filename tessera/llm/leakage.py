@@ -4,8 +4,9 @@ Passages and documents are cut into overlapping windows of words. The windows of
 blocks; each block spans a latent space by its SVD, worked out by the workers, of which all directions are kept. Document windows are projected the same way
 and compared with all passage windows; a candidate is what reaches the least value that a window with a case can have (the weakest run of 12 words, or piece of
 15 with two words lost, of that passage window), so no case is lost, whatever stands around it. A candidate's words are then aligned with the passage's (longest
-common subsequence with costs for edits), and the alignment decides. The passages are a fixed set whose size is checked; the documents are read once, whole,
-without a shuffle, for every PORTION of items.
+common subsequence with costs for edits), and the alignment decides; where it finds no case, but most of a stretch in order, the item's answer in the document
+makes it a paraphrase. Terms are weighted by their frequency in the corpus, counted over all documents. The passages are a fixed set whose number is checked,
+as are the bytes of what is sent to the workers; the documents are read whole, without a shuffle, once for the counts and once for every portion of the passages.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tessera.llm.words import words
 
 #: Words of a window and between windows: any WINDOW - STRIDE words in a row lie whole in one window.
 WINDOW, STRIDE = 32, 16
-#: Passage windows that span a latent space, and items whose spaces are sent to the workers together.
-BLOCK, PORTION = 128, 2000
+#: Passage windows that span a latent space; windows whose spaces are sent to the workers together, and the bytes that these may have.
+BLOCK, PORTION, BYTES = 128, 4096, 160_000_000
 #: Weight of single words beside pairs; a direction whose singular value is below this share of the first is rounding.
 SINGLE, TINY = 0.5, 1e-5
 #: Words of a piece of a stretch, and of those edited at most: any stretch has such a piece, as more in every 15 words would be over one in 8.
@@ -35,6 +36,8 @@ PIECE, LOST = 15, 2
 LEAST_PAIRS = 10
 #: What counts: words in a row; or words of a stretch, of which at most one in EDIT_EVERY is edited.
 RUN, STRETCH, EDIT_EVERY = 12, 30, 8
+#: A paraphrase has STRETCH passage words of which at least this share stand in order in the text, and the item's answer.
+ALIKE = 0.6
 #: Any case of that size shares so many runs of three words with its passage.
 LEAST_TRIPLES = 10
 #: The held-out set must not exceed this.
@@ -147,17 +150,53 @@ class Space:
 
 
 def _vocabulary(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Ids of the words, sorted codes of the pairs, and the number of passages that each word and pair stands in."""
     ids = {x: i for i, x in enumerate(sorted({x for w in texts for x in w}))}
     n = len(ids)
     codes = [[ids[a] * n + ids[b] for a, b in zip(w, w[1:])] for w in texts]
     pairs = np.array(sorted({c for x in codes for c in x}), dtype=np.int64)
-    df: Counter = Counter()
+    df = np.zeros(n + len(pairs), np.int64)
     for w, c in zip(texts, codes):
-        df.update({ids[x] for x in w})
-        df.update({n + i for i in np.searchsorted(pairs, sorted(set(c)))} if c else ())
-    idf = np.array([np.log(1 + len(texts) / df[i]) for i in range(n + len(pairs))], np.float32)
-    idf[:n] *= SINGLE
-    return ids, pairs, idf
+        df[sorted({ids[x] for x in w})] += 1
+        if c:
+            df[n + np.searchsorted(pairs, sorted(set(c)))] += 1
+    return ids, pairs, df
+
+
+def _counts(vocabulary: Broadcast):
+    """Rows (doc_id, text) -> (term, df): how many of the documents hold each word and pair of the vocabulary; (-1, number of documents)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, pairs = vocabulary.value
+        size = len(ids) + len(pairs)
+        total, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for _, docs in _portions(batch["doc_id"], batch["text"]):
+                flat = [x for w in docs for x in (*w, None)]
+                of = np.repeat(np.arange(len(docs)), [len(w) + 1 for w in docs])
+                for t in _terms(flat, ids, pairs, len(ids)):
+                    known = t >= 0
+                    total += np.bincount(np.unique(of[known] * size + t[known]) % size, minlength=size)
+                n += len(docs)
+        found = np.flatnonzero(total)
+        yield pd.DataFrame({"term": np.append(found, -1), "df": np.append(total[found], n)})
+
+    return run
+
+
+def _weights(rows: DataFrame, ids: dict[str, int], pairs: np.ndarray, in_passages: np.ndarray, n_passages: int) -> np.ndarray:
+    """Weight of each word and pair: its inverse frequency over all documents and passages."""
+    sent = rows.sparkSession.sparkContext.broadcast((ids, pairs))  # of a portion of the checked set
+    df = in_passages.astype(np.float64)
+    n = n_passages
+    for r in rows.mapInPandas(_counts(sent), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row per term of the portion
+        if r["term"] < 0:
+            n += r["df"]
+        else:
+            df[r["term"]] += r["df"]
+    weight = np.log(1 + n / df).astype(np.float32)
+    weight[: len(ids)] *= SINGLE
+    return weight
 
 
 def _row(w: list[str], ids: dict, pairs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,32 +230,45 @@ def _spans(ids: dict, pairs: np.ndarray, weight: np.ndarray):
     return run
 
 
-def fit(items: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str | None = "answer") -> Iterator[Space]:
-    """The latent spaces of the passages, by portions. Items with a null id or without RUN words in their passage can't leak and are left out."""
+def _portion(rows: list, first: int) -> int:
+    """Where a portion that begins at an item ends: at PORTION windows, but it has one item at least."""
+    windows, i = 0, first
+    while i < len(rows) and (i == first or windows + len(_starts(len(rows[i][1]))) <= PORTION):
+        windows += len(_starts(len(rows[i][1])))
+        i += 1
+    return i
+
+
+def fit(items: DataFrame, docs: DataFrame, item_id: str = "item_id", passage: str = "passage", answer: str | None = "answer") -> Iterator[Space]:
+    """The latent spaces of the passages, by portions; ``docs`` (doc_id, text) weigh the terms. Items with a null id or without RUN words in their passage can't leak and are left out."""
     spark = items.sparkSession
     rows = items.select(item_id, passage, F.col(answer) if answer else F.lit(None)).where(F.col(item_id).isNotNull()).dropDuplicates([item_id]).orderBy(item_id).limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} held-out items")
     rows = [(r[0], words(r[1]), words(r[2])) for r in rows]
     rows = [r for r in rows if len(r[1]) >= RUN]
-    for first in range(0, len(rows), PORTION):
-        some = rows[first : first + PORTION]
+    first = 0
+    while first < len(rows):
+        end = _portion(rows, first)
+        some, first = rows[first:end], end
         texts = [r[1] for r in some]
-        ids, pairs, weight = _vocabulary(texts)
+        ids, pairs, df = _vocabulary(texts)
+        weight = _weights(docs, ids, pairs, df, len(texts))
         windows = [(k, w[s : s + WINDOW]) for k, w in enumerate(texts) for s in _starts(len(w))]
         parts = [(([w for _, w in windows[i : i + BLOCK]]), [k for k, _ in windows[i : i + BLOCK]]) for i in range(0, len(windows), BLOCK)]
-        df = spark.createDataFrame(parts, "w array<array<string>>, owner array<long>").repartition(max(1, min(64, len(parts) // 4)))
-        blocks = [pickle.loads(r["block"]) for r in df.mapInPandas(_spans(ids, pairs, weight), "block binary").collect()]
+        found = spark.createDataFrame(parts, "w array<array<string>>, owner array<long>").repartition(len(parts)).mapInPandas(_spans(ids, pairs, weight), "block binary").collect()
+        if sum(len(r["block"]) for r in found) > BYTES:
+            raise ValueError("the spaces of a portion of passages are too large to be sent")
         triples = {k: frozenset(zip(w, w[1:], w[2:])) for k, w in enumerate(texts)}
-        yield Space([r[0] for r in some], texts, [r[2] for r in some], ids, pairs, weight, blocks, triples)
+        yield Space([r[0] for r in some], texts, [r[2] for r in some], ids, pairs, weight, [pickle.loads(r["block"]) for r in found], triples)
 
 
-def align(p: list[str], w: list[str]) -> list[int]:
+def align(p: list[str], w: list[str], edit: float = 2.0) -> list[int]:
     """The best local alignment of passage and text, as steps: 1 same word, 0 replaced, -1 dropped, -2 added."""
     known: dict[str, int] = {}
     a = np.array([known.setdefault(x, len(known)) for x in p])
     b = np.array([known.get(x, -1) for x in w])
-    n, m, edit = len(a), len(b), 2.0
+    n, m = len(a), len(b)
     h = np.zeros((n + 1, m + 1), np.float32)
     slope = edit * np.arange(m + 1, dtype=np.float32)
     for i in range(1, n + 1):
@@ -247,6 +299,24 @@ def long_stretch(steps: list[int]) -> bool:
     return bool(((span >= STRETCH) & (EDIT_EVERY * (edits[None, :] - edits[:, None]) <= span)).any())
 
 
+def paraphrased(p: list[str], w: list[str]) -> bool:
+    """Whether the text has, in order, ALIKE of the words of some STRETCH passage words; to be asked only where the answer is there too."""
+    known = set(zip(p, p[1:]))
+    at = [i for i, x in enumerate(zip(w, w[1:])) if x in known]
+    reach, first = STRETCH, 0
+    for k in range(1, len(at) + 1):
+        if k == len(at) or at[k] - at[k - 1] > reach:
+            if k - first >= LEAST_PAIRS:
+                steps = align(p, w[max(0, at[first] - STRETCH) : at[k - 1] + 2 + STRETCH], 0.5)
+                span = np.concatenate(([0], np.cumsum([s != -2 for s in steps])))
+                same = np.concatenate(([0], np.cumsum([s == 1 for s in steps])))
+                length = span[None, :] - span[:, None]
+                if ((length >= STRETCH) & (same[None, :] - same[:, None] >= ALIKE * length)).any():
+                    return True
+            first = k
+    return False
+
+
 def holds(p: list[str], triples: frozenset, w: list[str]) -> bool:
     """Whether the words hold RUN words of the passage in a row or an edited stretch."""
     at = [i for i, t in enumerate(zip(w, w[1:], w[2:])) if t in triples]
@@ -292,23 +362,31 @@ def _leaks(space: Broadcast):
         for batch in batches:
             out = []
             for some, docs in _portions(batch["doc_id"], batch["text"]):
+                joined: dict[int, str] = {}
                 for i, k in s.candidates(docs):
-                    if holds(s.texts[k], s.triples[k], docs[i]):
-                        a = s.answers[k]
-                        out.append((some[i], s.items[k], bool(a) and f" {' '.join(a)} " in f" {' '.join(docs[i])} "))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "answer_too"])
+                    a, w = s.answers[k], docs[i]
+                    if i not in joined and a:
+                        joined[i] = f" {' '.join(w)} "
+                    there = bool(a) and f" {' '.join(a)} " in joined[i]
+                    if holds(s.texts[k], s.triples[k], w):
+                        out.append((some[i], s.items[k], "copy", there))
+                    elif there and paraphrased(s.texts[k], w):
+                        out.append((some[i], s.items[k], "paraphrase", True))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "answer_too"])
 
     return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, answer_too: documents that hold 12 words in a row of an item's passage, or an edited stretch of 30, and whether its answer is there too.
+    """doc_id, item_id, kind, answer_too: documents that hold 12 words in a row of an item's passage, or an edited stretch of 30 (kind copy), and whether its answer is there too.
 
-    Null and empty texts hold nothing; answer_too is false for an item without answer. Repeated rows of a document give one row per item.
+    Kind paraphrase: no such words, but most of a stretch in order, and the answer. Null and empty texts hold nothing; answer_too is false for an item
+    without answer. Repeated rows of a document give one row per item and kind.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    found = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(False).alias("answer_too")).where("false")
-    for k, space in enumerate(fit(items)):
-        part = rows.mapInPandas(_leaks(items.sparkSession.sparkContext.broadcast(space)), "doc_id long, item_id long, answer_too boolean")  # of a portion of the checked set
+    schema = "doc_id long, item_id long, kind string, answer_too boolean"
+    found = items.sparkSession.createDataFrame([], schema)
+    for k, space in enumerate(fit(items, rows)):
+        part = rows.mapInPandas(_leaks(items.sparkSession.sparkContext.broadcast(space)), schema)  # of a portion of the checked set, its bytes are checked
         found = found.unionByName(part) if k else part
     return found.distinct()

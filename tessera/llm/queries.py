@@ -31,13 +31,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold evaluation passages, and the items they leak."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'copy'").select("doc_id", "item_id")
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked items with the number of documents that hold them, and of those that hold the answer too."""
+    """Leaked items with the number of documents that hold them, of those that hold the answer too, and of those that paraphrase them."""
     rows = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return rows.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if("answer_too").alias("n_with_answer"))
+    copy = F.col("kind") == "copy"
+    return rows.groupBy("item_id").agg(F.count_if(copy).alias("n_docs"), F.count_if(copy & F.col("answer_too")).alias("n_with_answer"), F.count_if(~copy).alias("n_paraphrased"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

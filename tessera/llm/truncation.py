@@ -2,7 +2,7 @@
 
 Texts are reduced to what their end, their likeness and the statistics of words need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
 found by banded min-hashes over shingles of five words, for texts of few words also of five letters; each text, however it ends, meets the next longer ones of its buckets, some in each round, until a
-longer copy gives a verdict or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
+longer copy gives a verdict, or ends as it does and so stands for it, or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
 inside a sentence or line of the other is cut. Texts without such a copy are judged by their last line: its form (prose, list, log, JSON, code, sign-off)
 and the terminality of its closing words: the share of all their occurrences in the corpus that end a sentence or line.
 """
@@ -284,15 +284,17 @@ def _alike(a: list[str], b: list[str]) -> bool:
 
 
 def ends_early(short: str, long: str) -> int:
-    """1 if the short text is a near-copy that stops inside a sentence or line of the long one, -1 if it stops at the end of one, 0 if it is none."""
+    """1 if the short text is a near-copy that stops inside a sentence or line of the long one, -1 if it stops at the end of one, 2 if both end there, 0 if it is none."""
     a, b = words(short), words(long)
     few = len(a) < FEW and len(b) < FEW
     if not (_alike(a, b) or few and _alike(list("".join(a)), list("".join(b)))):
         return 0
     bare = _MARK.sub("", "\n".join(_bare(short))).rstrip()
     rest = _beyond(bare, long.replace("\r\n", "\n").replace("\r", "\n"))
-    if not rest or not rest.strip():
+    if rest is None:
         return 0
+    if not rest.strip():
+        return 2
     if _JSON.match(bare) or bare.lstrip().split("\n")[0].rstrip().endswith("{") or bare.lstrip().startswith("```"):
         return 1 if judge(short)[0] == "cut" else -1  # a line's end closes no value or block
     if bare.rstrip(_CLOSERS)[-1:] in tuple(_END):
@@ -418,7 +420,7 @@ def _answers(own: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, verdict (1 cut, -1 whole) of class representatives that have a verified longer near-copy."""
+    """doc_id, verdict (1 cut, -1 whole) of class representatives that have a verified longer near-copy that goes on, or one that ends alike and has such a copy."""
     spark = profiles.sparkSession
     rows = profiles.select("doc_id", "size", "shingles", "letters", F.posexplode("bands").alias("band", "h")).where("h is not null")
     rows = rows.withColumn("shingles", F.when(F.col("band") < BANDS, F.col("shingles")).otherwise(F.col("letters"))).drop("letters")
@@ -444,23 +446,37 @@ def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
         more = met.where(F.col("at") == F.col("place") + step + wide - 1).select("place")
         asking = written(asking.join(more, "place", "left_semi").join(judged, "doc_id", "left_anti"), "asking")
         if asking.isEmpty():
-            return found
+            return _resolved(found)
         step, wide = step + wide, min(4 * wide, NEXT_MOST)
 
 
+def _resolved(found: DataFrame) -> DataFrame:
+    """doc_id, verdict of rows (doc_id, verdict, link): without a verdict a text has that of the longer text it is linked to. Links are doubled in length in each round."""
+    known = found.where("verdict is not null").groupBy("doc_id").agg(F.max("verdict").alias("verdict"))
+    links = found.where("verdict is null").groupBy("doc_id").agg(F.min("link").alias("link")).join(known.select("doc_id"), "doc_id", "left_anti")
+    links = written(links, "links")
+    while not links.isEmpty():
+        known = written(known, "known")
+        new = links.join(known.select(F.col("doc_id").alias("link"), "verdict"), "link").select("doc_id", "verdict")
+        rest = links.join(new.select("doc_id"), "doc_id", "left_anti")
+        links = written(rest.join(links.select(F.col("doc_id").alias("link"), F.col("link").alias("next")), "link").select("doc_id", F.col("next").alias("link")), "links")
+        known = known.unionByName(new)
+    return known
+
+
 def _verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, verdict of the pairs (doc_id, long_id) that are verified."""
+    """doc_id, verdict, link (the longer text where both end alike) of the pairs (doc_id, long_id) that are verified."""
     longs = pairs.groupBy("long_id").agg(F.collect_set("doc_id").alias("shorts"))  # of the texts just below it, ids only
     with_long = lookup(texts.select(F.col("doc_id").alias("long_id"), F.col("text").alias("long")), longs, "long_id").where("shorts is not null")
-    with_long = with_long.select(F.explode("shorts").alias("doc_id"), "long")
+    with_long = with_long.select("long_id", F.explode("shorts").alias("doc_id"), "long")
     shorts = lookup(texts, pairs.select("doc_id").distinct().withColumn("asked", F.lit(True)), "doc_id").where("asked").select("doc_id", "text")
 
     @F.pandas_udf("int")
     def verdict(short: pd.Series, long: pd.Series) -> pd.Series:
         return pd.Series([ends_early(a, b) for a, b in zip(short, long)], dtype="int32")
 
-    judged = with_long.join(shorts, "doc_id").select("doc_id", verdict("text", "long").alias("v")).where("v <> 0")
-    return judged.groupBy("doc_id").agg(F.max("v").alias("verdict"))
+    judged = with_long.join(shorts, "doc_id").select("doc_id", "long_id", verdict("text", "long").alias("v")).where("v <> 0")
+    return judged.groupBy("doc_id").agg(F.max(F.when(F.col("v") < 2, F.col("v"))).alias("verdict"), F.min(F.when(F.col("v") == 2, F.col("long_id"))).alias("link"))
 
 
 def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

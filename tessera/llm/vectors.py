@@ -38,6 +38,8 @@ HASHED, GRID, SAME = 8, 65_536, 1 - 1e-12
 PART_ROWS = 48_000
 #: Candidate pairs that a task compares at once, at most (unless one vector has more).
 PAIRS = 1_000_000
+#: About the bytes of a member, and of the members that a task reads.
+MEMBER_BYTES, TASK_BYTES = 450, 48_000_000
 #: Columns of a block; significance of the test that abandons a candidate; members of a list; candidates taken whole, at least.
 COLUMNS, EPSILON, LIST_ROWS, WHOLE = 24, 2.1, 256, 768
 
@@ -355,7 +357,10 @@ def neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _searched(vectors: DataFrame, k: int, n: int, others: int = 0) -> DataFrame:
-    found = members(vectors, n, others).groupBy("cell", "block").applyInPandas(_search(k), "vec_id long, near_id long, sim double")
+    # partitions by what there is, not by the session's number alone: a vector is in two to three cells on average
+    conf = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    index = members(vectors, n, others).repartition(max(conf, math.ceil(3 * (n + others) * MEMBER_BYTES / TASK_BYTES)), "cell", "block")
+    found = index.groupBy("cell", "block").applyInPandas(_search(k), "vec_id long, near_id long, sim double")
     if others <= n:
         return found
     # what the parts of a block found, together
