@@ -2,7 +2,7 @@
 
 Texts are reduced to what their end, their likeness and the statistics of words need, in one pass without a shuffle of texts. Copies with one text are one class. Near-copies are
 found by banded min-hashes over shingles of five words, for texts of few words also of five letters; each text, however it ends, meets the next longer ones of its buckets, some in each round, until a
-longer copy gives a verdict, or ends as it does and so stands for it, or none is left. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
+longer copy gives a verdict, or ends as it does and so stands for it, or none is left; in large buckets these are the ones that hold its last word. A pair is verified on its shingles (0.8 or more), its texts are aligned, and the one whose alignment ends
 inside a sentence or line of the other is cut. Texts without such a copy are judged by their last line: its form (prose, list, log, JSON, code, sign-off)
 and the terminality of its closing words: the share of all their occurrences in the corpus that end a sentence or line.
 """
@@ -32,6 +32,8 @@ FEW = 8 * SHINGLE
 NEXT, NEXT_MOST = 4, 256
 #: Words and tokens remembered by a worker, at most.
 MEMORY = 400_000
+#: In a bucket of more texts a text meets only those that hold its last word, or its first letters where it may go on: so many at most.
+HOT, LETTERS = 1000, 4
 #: Last words of the short text that are aligned with the long one.
 TAIL = 400
 #: Below this share of closing occurrences in list items a word doesn't end one.
@@ -289,7 +291,7 @@ def ends_early(short: str, long: str) -> int:
     few = len(a) < FEW and len(b) < FEW
     if not (_alike(a, b) or few and _alike(list("".join(a)), list("".join(b)))):
         return 0
-    bare = _MARK.sub("", "\n".join(_bare(short))).rstrip()
+    bare = _cleared(short)
     rest = _beyond(bare, long.replace("\r\n", "\n").replace("\r", "\n"))
     if rest is None:
         return 0
@@ -302,6 +304,11 @@ def ends_early(short: str, long: str) -> int:
     return -1 if rest.lstrip(" \t" + _CLOSERS + ",;").startswith("\n") else 1
 
 
+def _cleared(text: str) -> str:
+    """A text without what stands after its end, nor a mark."""
+    return _MARK.sub("", "\n".join(_bare(text))).rstrip()
+
+
 def _word(c: str) -> bool:
     return c.isalnum()
 
@@ -426,19 +433,20 @@ def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("shingles", F.when(F.col("band") < BANDS, F.col("shingles")).otherwise(F.col("letters"))).drop("letters")
     # buckets of one text fall away before any text is read
     buckets = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    order = ["band", "h", "size", "doc_id"]  # a large bucket spreads over partitions
-    rows = rows.join(buckets.select("band", "h"), ["band", "h"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = _keyed(written(rows.join(buckets, ["band", "h"]), "shared"), texts)
+    order = ["band", "h", "key", "size", "doc_id"]  # a large bucket spreads over partitions
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(rows.withColumn("_at", F.monotonically_increasing_id()), "buckets")
     counts = sorted(tuple(r) for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())  # a row per partition
     begin = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
     begin = spark.createDataFrame(begin, "part long, begin long")
     rows = rows.withColumn("part", F.shiftright("_at", 33)).join(F.broadcast(begin), "part").withColumn("place", F.col("begin") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
-    rows = written(rows.select("doc_id", "size", "shingles", "band", "h", "place"), "places")
-    longer = rows.select("band", "h", F.col("place").alias("at"), F.col("doc_id").alias("long_id"), F.col("size").alias("long_size"), F.col("shingles").alias("long_shingles"))
-    asking, found, step, wide = rows, None, 1, NEXT
+    rows = written(rows.select("doc_id", "size", "shingles", "band", "h", "key", "asks", "place"), "places")
+    longer = rows.select("band", "h", "key", F.col("place").alias("at"), F.col("doc_id").alias("long_id"), F.col("size").alias("long_size"), F.col("shingles").alias("long_shingles"))
+    asking, found, step, wide = rows.where("asks"), None, 1, NEXT
     while True:
         asked = asking.withColumn("at", F.explode(F.sequence(F.col("place") + step, F.col("place") + step + wide - 1)))
-        met = written(asked.join(longer, ["band", "h", "at"]), "met")
+        met = written(asked.join(longer, ["band", "h", "key", "at"]), "met")
         able = F.least("shingles", "long_shingles") >= SIMILAR * F.greatest("shingles", "long_shingles")
         pairs = met.where(able & (F.col("long_size") > F.col("size"))).select("doc_id", "long_id").distinct()
         judged = written(_verdicts(written(pairs, "pairs"), texts), "verdicts")
@@ -450,6 +458,37 @@ def _copies(profiles: DataFrame, texts: DataFrame) -> DataFrame:
         step, wide = step + wide, min(4 * wide, NEXT_MOST)
 
 
+def _last(text: str) -> str:
+    """What a longer copy must hold for an alignment to end there: the last word, "=" before it, or, where it may go on, its first letters; "" without words."""
+    bare = _cleared(text)
+    found = _RUN.findall(bare)
+    return "" if not found else found[-1].lower()[:LETTERS] if bare.endswith(found[-1]) else f"={found[-1].lower()}"
+
+
+def _keyed(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, band, h, n and others) with ``key`` and ``asks``: texts meet in a bucket under one key. In a large one a text stands under the beginnings of its
+    words and asks under that of its last word, without which no alignment can end there; in others all stand and ask under one key."""
+    small = rows.where(F.col("n") <= HOT).drop("n").select("*", F.lit(0).alias("key"), F.lit(True).alias("asks"))
+    hot = rows.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        return small
+
+    @F.pandas_udf("own int, all array<int>")
+    def keys(some: pd.Series) -> pd.DataFrame:
+        own, every = [], []
+        for t in some:
+            key = _last(t)
+            own.append(_hash(key) & 0x7FFFFFFF if key else None)
+            w = {x.lower() for x in _RUN.findall(t)}
+            every.append(sorted({_hash(k) & 0x7FFFFFFF for k in {f"={x}" for x in w} | {x[:j] for x in w for j in range(1, min(len(x), LETTERS) + 1)}}))
+        return pd.DataFrame({"own": pd.array(own, dtype="Int32"), "all": every})
+
+    asked = lookup(texts, hot.select("doc_id").distinct().withColumn("hot", F.lit(True)), "doc_id").where("hot and text is not null")
+    known = written(asked.dropDuplicates(["doc_id"]).select("doc_id", keys("text").alias("k")), "words")
+    large = hot.drop("n").join(known, "doc_id").select(*(c for c in rows.columns if c != "n"), F.explode("k.all").alias("key"), F.col("k.own").alias("_own"))
+    return small.unionByName(large.withColumn("asks", F.coalesce(F.col("key") == F.col("_own"), F.lit(False))).drop("_own"))
+
+
 def _resolved(found: DataFrame) -> DataFrame:
     """doc_id, verdict of rows (doc_id, verdict, link): without a verdict a text has that of the longer text it is linked to. Links are doubled in length in each round."""
     known = found.where("verdict is not null").groupBy("doc_id").agg(F.max("verdict").alias("verdict"))

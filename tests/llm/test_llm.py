@@ -309,7 +309,9 @@ def test_a_copy_overrules_any_end(spark):
     assert got == {1, 3, 5, 7, 51}
 
 
-def test_every_longer_text_of_a_bucket_is_tried(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_every_longer_text_of_a_bucket_is_tried(spark, monkeypatch, hot):
+    monkeypatch.setattr(truncation, "HOT", hot)
     rng = random.Random(18)
     line = lambda: " ".join(_sentence(rng, 9)) + " end"
     whole = "\n".join(line() for _ in range(20))
@@ -323,7 +325,9 @@ def test_every_longer_text_of_a_bucket_is_tried(spark):
     assert [(r["doc_id"], r["verdict"]) for r in got] == [(1, 1)]
 
 
-def test_texts_that_end_alike_share_a_verdict(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_texts_that_end_alike_share_a_verdict(spark, monkeypatch, hot):
+    monkeypatch.setattr(truncation, "HOT", hot)
     rng = random.Random(41)
     lines = [" ".join(_sentence(rng, 9)) + "." for _ in range(30)]
     end = " ".join(_sentence(rng, 7)) + " begi"
@@ -336,6 +340,20 @@ def test_texts_that_end_alike_share_a_verdict(spark):
     assert {(r["doc_id"], r["verdict"]) for r in truncation._resolved(rows).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, -1)}
 
 
+def test_a_crowd_with_ends_of_their_own_costs_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "HOT", 50)
+    rng = random.Random(43)
+    lines = [" ".join(_sentence(rng, 12)) + "." for _ in range(8)]
+    docs = [(i, "\n".join(lines) + f" Note {'x' * (i % 40)} for q{i:06d}z." ) for i in range(400)]
+    docs.append((1000, "\n".join(lines) + " Note for q000399z. And it goes on with more."))
+    docs.append((1001, "\n".join(lines) + " Note for q000399z. And it goes on wi"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    met = []
+    monkeypatch.setattr(truncation, "_verdicts", lambda pairs, texts, f=truncation._verdicts: (met.append(pairs.count()), f(pairs, texts))[1])
+    got = {r["doc_id"] for r in truncation.truncated(df).where("cut").collect()}
+    assert 1001 in got and not got & set(range(399)) and sum(met) < 4 * 400
+
+
 def test_min_hash_finds_similar_texts():
     rng = random.Random(9)
     found = 0
