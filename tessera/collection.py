@@ -44,6 +44,37 @@ def check_name(name: str) -> str:
     return name
 
 
+class Group:
+    """Records that are committed together: at the latest after ``most`` of them or ``seconds``, and at the end. A crash loses what wasn't committed."""
+
+    def __init__(self, collection: Collection, most: int = 50, seconds: float = 0.1):
+        self.collection, self.most, self.seconds = collection, most, seconds
+        self.waiting: list[dict] = []
+        self.since = time.monotonic()
+
+    def insert(self, doc: Mapping[str, Any]) -> str:
+        """The record's id; the record is seen by readers once the group is committed."""
+        record = {**doc, "_id": str(doc.get("_id") or uuid.uuid4())}
+        if not self.waiting:
+            self.since = time.monotonic()
+        self.waiting.append(record)
+        if len(self.waiting) >= self.most or time.monotonic() - self.since >= self.seconds:
+            self.flush()
+        return record["_id"]
+
+    def flush(self) -> None:
+        some, self.waiting = self.waiting, []
+        if some:
+            self.collection.insert_many(some)
+
+    def __enter__(self) -> Group:
+        return self
+
+    def __exit__(self, kind: Any, *_: Any) -> None:
+        if kind is None:
+            self.flush()
+
+
 class Collection:
     """One collection. ``writer`` names this writer's commits; several writers may append at once, and their commits are ordered by number, then writer."""
 
@@ -521,6 +552,10 @@ class Collection:
         self._set(self._frame(docs), "insert", **mut)
         return [d["_id"] for d in docs]
 
+    def group(self, most: int = 50, seconds: float = 0.1) -> Group:
+        """A writer of single records whose commits are shared."""
+        return Group(self, most, seconds)
+
     def append(self, docs: DataFrame, **mut: Any) -> None:
         """Insert the rows of a DataFrame of any size."""
         self._set(self._frame(docs), "insert", **mut)

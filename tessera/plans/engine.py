@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import Compiler, TypedFields
 from tessera.operators import find as finder
-from tessera.operators import fusion, knn, oplog, schema, text, updates
+from tessera.operators import fusion, knn, oplog, reports, schema, text, updates
 from tessera.operators.find import resolve
 from tessera.sources.tables import table
 
@@ -25,11 +25,11 @@ def _query(sql: str | None):
     return add
 
 
-def _filtered(name: str, tab: str, key: str, where, sql: str, prepare=None, **how) -> None:
+def _filtered(name: str, tab: str, key: str, where, sql: str, prepare=None, spread: bool = False, **how) -> None:
     """A query of the keys that a filter matches."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = table(spark, d, tab)
+        df = table(spark, d, tab, spread)
         df = prepare(df) if prepare else df
         return df.where(resolve(df, where, **how)).select(key)
 
@@ -52,12 +52,36 @@ _filtered("filter_and_or_not", "orders", "o_orderkey", {"$or": [{"o_orderstatus"
 _filtered("filter_field_not", "documents", "doc_id", {"lang": {"$not": {"$startsWith": "e"}}}, "documents WHERE NOT coalesce(starts_with(lang, 'e'), false)")
 _filtered("filter_mixed_compare", "part", "p_partkey", {"p_size": {"$gt": "20"}}, "part WHERE p_size > 20")
 _filtered("filter_time", "orders", "o_orderkey", {"o_orderdate": {"$gte": "1995-01-01", "$lt": "1996-01-01"}}, "orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
-_filtered("filter_variant", "events", "event_id", {"doc.k": {"$gt": 50}}, "events WHERE TRY_CAST(props ->> '$.k' AS DOUBLE) > 50", lambda df: df.withColumn("doc", F.parse_json(F.concat(F.lit('{"doc":'), "props", F.lit("}")))), variant="doc")
+_filtered("filter_variant", "events", "event_id", {"doc.k": {"$gt": 50}}, "events WHERE TRY_CAST(props ->> '$.k' AS DOUBLE) > 50", lambda df: df.withColumn("doc", F.parse_json(F.concat(F.lit('{"doc":'), "props", F.lit("}")))), spread=True, variant="doc")
 _filtered("compact_query", "orders", "o_orderkey", "o_orderstatus:F (o_totalprice.gt:100000 or o_orderpriority.starts:1)", "orders WHERE o_orderstatus = 'F' AND (o_totalprice > 100000 OR starts_with(o_orderpriority, '1'))")
 _filtered("compact_tags", "part", "p_partkey", "+red -blue", "part WHERE list_contains(string_split(p_name, ' '), 'red') AND NOT list_contains(string_split(p_name, ' '), 'blue')", lambda df: df.withColumn("tags", F.split("p_name", " ")))
+_TAGS = lambda df: df.withColumn("tags", F.split("p_name", " "))
+_filtered("filter_array_equal", "part", "p_partkey", {"tags": ["red", "blue"]}, "part WHERE string_split(p_name, ' ') = ['red', 'blue']", _TAGS)
+_filtered("filter_object_equal", "part", "p_partkey", {"p_name": {"a": 1}}, "part WHERE false")
+_filtered("compact_strlen", "part", "p_partkey", "p_name.strLen.gt:8 p_brand.strLen:8", "part WHERE length(p_name) > 8 AND length(p_brand) = 8")
+_filtered("compact_in", "orders", "o_orderkey", "o_orderpriority.in:1-URGENT,2-HIGH o_orderstatus.nin:F,P", "orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND (o_orderstatus NOT IN ('F', 'P') OR o_orderstatus IS NULL)")
+_filtered("compact_exists", "documents", "doc_id", "title.exists:false or lang.exists:true", "documents WHERE title IS NULL OR lang IS NOT NULL")
+_filtered("compact_quotes", "part", "p_partkey", """"p_name:red blue" or 'p_type:ECONOMY'""", "part WHERE p_name = 'red blue' OR p_type = 'ECONOMY'")
+_filtered("compact_words", "orders", "o_orderkey", "(o_orderstatus.is:F or o_orderstatus.equals:P) and o_totalprice.above:50000 o_totalprice.under:90000 o_orderpriority.right:H", "orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 50000 AND o_totalprice < 90000 AND ends_with(o_orderpriority, 'H')")
 _filtered("virtual_filter", "lineitem", "l_orderkey", {"+bulk": True, "l_returnflag": "R"}, "lineitem WHERE l_quantity * l_extendedprice > 1000000 AND l_returnflag = 'R'", virtual={"bulk": lambda _: F.col("l_quantity") * F.col("l_extendedprice") > 1_000_000})
 
 
+_WRONG = ({"a": {"$nope": 1}}, {"$nope": []}, ["a"], {"a": {"$in": 1}}, {"a": {"$startsWith": 1}}, {"a": {"$exists": 1}}, {"a": {"$regex": "(a+)+"}}, {"a": {"$not": 1}}, {"$and": {}}, {"$not": 1}, "a:1 (", "and")
+
+
+@_query(f"SELECT unnest(range({len(_WRONG)}))::INT AS filter, true AS refused")
+def filter_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Filters that are refused when they are compiled."""
+    df, out = table(spark, d, "region"), []
+    for i, f in enumerate(_WRONG):
+        try:
+            resolve(df, f, searchable=F.col("r_name"))
+            out.append((i, False))
+        except ValueError:
+            out.append((i, True))
+    return spark.createDataFrame(out, "filter int, refused boolean")
+
+
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def find_sort_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten dearest finished orders."""
@@ -108,25 +132,20 @@ def distinct_field(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'documents', count(*) FROM documents")
 def stats_collections(spark: SparkSession, d: str) -> DataFrame:
-    """Records of several collections."""
-    one = lambda t: table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
-    return one("orders").unionByName(one("customer")).unionByName(one("documents"))
+    """Records of several tables."""
+    return reports.table_counts({t: table(spark, d, t) for t in ("orders", "customer", "documents")})
 
 
 @_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def count_by_status(spark: SparkSession, d: str) -> DataFrame:
     """Breakdown by status."""
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return reports.breakdown(table(spark, d, "orders"), F.col("o_orderstatus").alias("status"))
 
 
-@_query("SELECT count(DISTINCT coalesce(lang, 'null')) AS lang, count(DISTINCT source) AS source, count(DISTINCT coll) AS coll FROM documents")
+@_query("SELECT count(DISTINCT coalesce(lang, 'null')) AS lang, count(DISTINCT coalesce(source, 'null')) AS source, count(DISTINCT coalesce(coll, 'null')) AS coll FROM documents")
 def column_cardinality(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct values of indexed columns, null as one, counted on values that were made distinct first."""
-    docs, out = table(spark, d, "documents"), None
-    for c in ("lang", "source", "coll"):
-        one = docs.select(c).distinct().agg(F.count("*").alias(c))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    """Distinct values of columns, null as one."""
+    return reports.cardinality(table(spark, d, "documents"), ["lang", "source", "coll"])
 
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')"
@@ -135,7 +154,7 @@ _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')"
 @_query(f"SELECT doc_id FROM documents WHERE list_has_all({_TERMS}, ['retry', 'budget', 'shared'])")
 def text_and(spark: SparkSession, d: str) -> DataFrame:
     """Documents with all terms."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return docs.where(text.and_search(docs, F.col("text"), "Shared retry BUDGET")).select("doc_id")
 
 
@@ -158,14 +177,14 @@ b AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2
 @_query(_BM25 + "SELECT id, round(score, 6) AS score FROM b")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all documents with a term."""
-    found = text.bm25(table(spark, d, "documents"), F.col("text"), "doc_id", "overdue retry budget legacy retry")
+    found = text.bm25(table(spark, d, "documents", spread=True), F.col("text"), "doc_id", "overdue retry budget legacy retry")
     return found.select("id", F.round("score", 6).alias("score"))
 
 
 @_query(_BM25 + ", c AS (SELECT * FROM b ORDER BY score DESC, id LIMIT 50) SELECT c.id, round(score, 6) AS score FROM c JOIN t USING (id) WHERE lang = 'en' ORDER BY score DESC, c.id LIMIT 10")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by score, then the filter, then the limit."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     best = text.bm25(docs, F.col("text"), "doc_id", "overdue retry budget legacy").orderBy(F.desc("score"), "id").limit(fusion.candidates(10))
     rows = docs.where(resolve(docs, {"lang": "en"})).join(F.broadcast(best), F.col("doc_id") == F.col("id"))  # 50 candidates
     return rows.orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
@@ -174,7 +193,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def text_postings(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of all terms."""
-    p = text.postings(table(spark, d, "documents"), F.col("text"), "doc_id")
+    p = text.postings(table(spark, d, "documents", spread=True), F.col("text"), "doc_id")
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -216,7 +235,7 @@ SELECT id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION AL
 @_query(_BM25 + _RRF)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Text and vector results fused by reciprocal ranks."""
-    out = fusion.hybrid(table(spark, d, "documents"), "doc_id", "text", "overdue retry budget legacy", table(spark, d, "embeddings"), "vec_id", "embedding", _Q)
+    out = fusion.hybrid(table(spark, d, "documents", spread=True), "doc_id", "text", "overdue retry budget legacy", table(spark, d, "embeddings"), "vec_id", "embedding", _Q)
     return out.select("id", F.round("score", 9).alias("score"))
 
 
@@ -311,50 +330,30 @@ count(*) >= 0.95 * (SELECT count(*) FROM stored_records WHERE doc IS NOT NULL AN
 )
 def infer_schema(spark: SparkSession, d: str) -> DataFrame:
     """Fields of all stored documents with their inferred statistics."""
-    return schema.infer(table(spark, d, "stored_records"), "doc").select("field", "present", "distinct_values", "max_length", "required")
+    return schema.infer(table(spark, d, "stored_records", spread=True).select("doc"), "doc").select("field", "present", "distinct_values", "max_length", "required")
 
 
-@_query(None)
+@_query(
+    _KEYS
+    + r""", b AS (SELECT field, txt, CASE WHEN kind = 'BOOLEAN' THEN 'boolean' WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' WHEN kind = 'VARCHAR' THEN 'string' WHEN kind = 'OBJECT' THEN 'object'
+  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(doc, '$."' || field || '"[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN 'string[]'
+  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(doc, '$."' || field || '"[*]'), lambda x: json_type(x) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE'))) = 0 THEN 'number[]' ELSE 'other' END AS bucket FROM v WHERE kind <> 'NULL')
+SELECT field, CASE WHEN count(DISTINCT bucket) > 1 THEN NULL WHEN any_value(bucket) <> 'string' THEN any_value(bucket)
+  WHEN bool_and(regexp_matches(txt, '^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?)?$')) THEN 'date' WHEN count(DISTINCT txt) <= 10 THEN 'enum' ELSE 'string' END AS type FROM b GROUP BY field"""
+)
 def infer_types(spark: SparkSession, d: str) -> DataFrame:
     """Inferred type of each field."""
-    return schema.infer(table(spark, d, "stored_records"), "doc").select("field", "type")
-
-
-@_query("SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'archive' ELSE 'live' END AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def archive_split(spark: SparkSession, d: str) -> DataFrame:
-    """Old orders apart from the others: both parts of one filter."""
-    df = table(spark, d, "orders")
-    old = resolve(df, {"o_orderdate": {"$lt": "1998-01-01"}})
-    part = F.when(F.coalesce(old, F.lit(False)), "archive").otherwise("live")
-    return df.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-@_query("SELECT o.o_orderkey FROM orders o ANTI JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0")
-def import_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Rows without a partner that exists already."""
-    rich = table(spark, d, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(rich, "o_custkey", "left_anti").select("o_orderkey")
-
-
-@_query("SELECT c_custkey, c_name || ' of ' || n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name > 'M'")
-def computed_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """A computed field and a virtual filter that look up another record."""
-    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    df = table(spark, d, "customer").join(nation, "c_nationkey", "left")
-    page = df.where(resolve(df, {"+late": True}, virtual={"late": lambda _: F.col("n_name") > "M"}))
-    return page.select("c_custkey", F.concat("c_name", F.lit(" of "), "n_name").alias("label"))
+    return schema.infer(table(spark, d, "stored_records", spread=True).select("doc"), "doc").select("field", "type")
 
 
 @_query("SELECT source, count(*) AS n, CAST(sum(CAST(ceil(greatest(length(text) - 50, 1) / 450.0) AS BIGINT)) AS BIGINT) AS chunks FROM documents WHERE length(text) > 0 GROUP BY source")
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 500 characters with an overlap of 50, by source."""
     docs = table(spark, d, "documents").where(F.length("text") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - 50, F.lit(1)), F.lit(450))
-    chunks = F.transform(starts, lambda s: F.substr("text", s, F.lit(500)))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size(chunks)).alias("chunks"))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size(reports.chunks(F.col("text")))).alias("chunks"))
 
 
-@_query(None)
+@_query(_OPSQL + " SELECT _id, event_id, value FROM o WHERE _id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY _id ORDER BY ts DESC, event_id DESC) = 1 AND op = 'set'")
 def stream_log_state(spark: SparkSession, d: str) -> DataFrame:
     """The state of the event log kept by a stream that reads what is new and stops."""
     from tessera.session import scratch

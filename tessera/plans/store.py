@@ -34,15 +34,15 @@ def _query(sql: str | None):
     return add
 
 
-def _new(spark: SparkSession, **how) -> Database:
-    return Database(spark, scratch(spark, "db"), **how)
+def _new(spark: SparkSession, keep: bool = False, **how) -> Database:
+    return Database(spark, scratch(spark, "db", keep), **how)
 
 
 def _once(spark: SparkSession, d: str, name: str, fill) -> Collection:
     """A collection that several queries read, filled once per application and folder."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _OPEN:
-        db = _new(spark)
+        db = _new(spark, keep=True)
         fill(db.collection(name))
         _OPEN[key] = db
     return _OPEN[key].collection(name)
@@ -186,7 +186,7 @@ def _texts(spark: SparkSession, d: str) -> Collection:
     db_schema = {"name": "texts", "fields": {"text": {"type": "string", "searchable": True}, "lang": {"type": "string"}, "source": {"type": "string"}}}
     key = (spark.sparkContext.applicationId, d, "texts")
     if key not in _OPEN:
-        db = _new(spark)
+        db = _new(spark, keep=True)
         db.persist_schema("texts", db_schema)
         fill(db.collection("texts"))
         _OPEN[key] = db
@@ -516,6 +516,16 @@ def store_writers(spark: SparkSession, d: str) -> DataFrame:
     return c1.find_all().select("_id", F.col("_version").cast("int").alias("version"), _field("by").alias("writer"))
 
 
+@_query("SELECT 120::BIGINT AS n, 3::BIGINT AS commits")
+def store_group(spark: SparkSession, d: str) -> DataFrame:
+    """Single inserts that share commits."""
+    c = _new(spark).collection("g")
+    with c.group(seconds=3600) as g:
+        for i in range(120):
+            g.insert({"_id": f"r{i}"})
+    return spark.createDataFrame([(c.count(), c.seq())], "n long, commits long")
+
+
 @_query("SELECT 'The database is read-only' AS refused, 1::BIGINT AS n")
 def store_read_only(spark: SparkSession, d: str) -> DataFrame:
     """A read-only database refuses every writer and serves readers."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 #: Paths handed out and not yet deleted, by application.
 _GIVEN: dict[str, list[str]] = {}
+_KEPT: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted by ``clean``."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder, deleted by ``clean``, or with ``keep`` when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    (_KEPT if keep else _GIVEN).setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -79,6 +80,8 @@ def _at_exit() -> None:
         spark = SparkSession.getActiveSession()
         if spark is not None:
             clean(spark)
+            for path in _KEPT.get(spark.sparkContext.applicationId, []):
+                remove(spark, path)
             if spark.sparkContext.applicationId in _LOCAL:
                 remove(spark, _LOCAL[spark.sparkContext.applicationId])
 

@@ -32,8 +32,3 @@ def change_events(ops: DataFrame, collection: str) -> DataFrame:
     kind = F.when(F.col("op") == "delete", "delete").when(F.col("_version") == 1, "insert").otherwise("update")
     rows = ops.groupBy("seq", kind.alias("type"), F.col("_agent").alias("agent")).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
     return rows.select(F.lit("db_change").alias("event"), F.lit(collection).alias("collection"), "type", "ids", "agent", "seq")
-
-
-def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Counts per window and key of a stream with late events (an extension)."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
