@@ -11,7 +11,7 @@ from tessera.sources.tables import table
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs in which one vector is among the 5 most similar of the other."""
-    return vectors.neighbour_pairs(vectors.neighbours(vectors.vectors_of(table(spark, d, "record_vectors")), 5))
+    return vectors.neighbour_pairs(vectors.neighbours(vectors.vectors_of(table(spark, d, "record_vectors", spread=True)), 5))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,29 +26,29 @@ def p5_closeness(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return encode.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode.encode_corpus(table(spark, d, "documents", spread=True).select("doc_id", "text")).select("doc_id", "ids")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold evaluation passages, and the items they leak."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'copy'").select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents", spread=True), table(spark, d, "eval_items")).where("kind = 'copy'").select("doc_id", "item_id")
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the number of documents that hold them, of those that hold the answer too, and of those that paraphrase them."""
-    rows = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    rows = leakage.leaks(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"))
     copy = F.col("kind") == "copy"
     return rows.groupBy("item_id").agg(F.count_if(copy).alias("n_docs"), F.count_if(copy & F.col("answer_too")).alias("n_with_answer"), F.count_if(~copy).alias("n_paraphrased"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text was cut."""
-    return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id")
+    return truncation.truncated(table(spark, d, "documents", spread=True)).where("cut").select("doc_id")
 
 
 def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     """Share of cut documents of every source."""
-    return truncation.share_by_source(table(spark, d, "documents"), F.col("source"))
+    return truncation.share_by_source(table(spark, d, "documents", spread=True), F.col("source"))
 
 
 _FUSED = """
