@@ -336,8 +336,8 @@ def infer_schema(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     _KEYS
     + r""", b AS (SELECT field, txt, CASE WHEN kind = 'BOOLEAN' THEN 'boolean' WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' WHEN kind = 'VARCHAR' THEN 'string' WHEN kind = 'OBJECT' THEN 'object'
-  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(doc, '$."' || field || '"[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN 'string[]'
-  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(doc, '$."' || field || '"[*]'), lambda x: json_type(x) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE'))) = 0 THEN 'number[]' ELSE 'other' END AS bucket FROM v WHERE kind <> 'NULL')
+  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(txt, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN 'string[]'
+  WHEN kind = 'ARRAY' AND len(list_filter(json_extract(txt, '$[*]'), lambda x: json_type(x) NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE'))) = 0 THEN 'number[]' ELSE 'other' END AS bucket FROM v WHERE kind <> 'NULL')
 SELECT field, CASE WHEN count(DISTINCT bucket) > 1 THEN NULL WHEN any_value(bucket) <> 'string' THEN any_value(bucket)
   WHEN bool_and(regexp_matches(txt, '^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?)?$')) THEN 'date' WHEN count(DISTINCT txt) <= 10 THEN 'enum' ELSE 'string' END AS type FROM b GROUP BY field"""
 )
