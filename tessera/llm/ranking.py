@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import lookup
+from tessera.session import written
 
 #: Winsorising: scores below / above these quantiles of their list are set to them.
 LOW, HIGH = 0.05, 0.9
@@ -27,12 +28,12 @@ def fuse(items: DataFrame, lower_is_better: tuple[str, ...] = ("distance",), low
     """
     ok = items.where(F.col("query_id").isNotNull() & F.col("list_name").isNotNull() & F.col("item_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     score = F.when(F.col("list_name").isin(*lower_is_better), -F.col("score")).otherwise(F.col("score")).cast("double")
-    best = ok.groupBy("query_id", "list_name", "item_id").agg(F.max(score).alias("s"))
+    best = written(ok.groupBy("query_id", "list_name", "item_id").agg(F.max(score).alias("s")), "best")  # read for the cuts, the norms and the places
     cuts = F.percentile_approx("s", F.array(F.lit(low), F.lit(high)), F.lit(10_000))
     lists = best.groupBy("query_id", "list_name").agg(cuts.alias("q"), F.max("s").alias("top"))
     lists = lists.select("query_id", "list_name", F.col("q")[0].alias("worst"), F.col("q")[1].alias("ideal"), "top")
     given = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1])))), F.col("list_name")) if weights else F.lit(None).cast("double")
-    lists = lists.withColumn("given", F.coalesce(given, F.lit(1.0)))
+    lists = written(lists.withColumn("given", F.coalesce(given, F.lit(1.0))), "lists")
     all_ = lists.groupBy("query_id").agg(F.sum(F.col("given") * F.col("given")).alias("all_squares"), F.sum("given").alias("all_given"))
     known = lookup(best, lists.join(all_, "query_id"), ["query_id", "list_name"])
     clipped = F.least(F.greatest("s", "worst"), "ideal")
