@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,11 @@ def postings(docs: DataFrame, text: Column, doc_id: str, only: list[str] | None
 def and_search(docs: DataFrame, text: Column, query: str) -> Column | None:
     """Predicate of documents with every term of the query; None where the query has no term (nothing matches)."""
     q = query_terms(query)
-    return F.size(F.array_except(F.array(*map(F.lit, q)), terms(text))) == 0 if q else None
+    if not q:
+        return None
+    # texts without a term's letters are told by a plain search, before any is taken apart
+    letters = reduce(Column.__and__, (F.lower(text).contains(w) for w in q))
+    return letters & (F.size(F.array_except(F.array(*map(F.lit, q)), terms(text))) == 0)
 
 
 def score(n: Column, avgdl: Column, df: Column, tf: Column, dl: Column) -> Column:
@@ -67,10 +73,12 @@ def bm25(docs: DataFrame, text: Column, doc_id: str, query: str) -> DataFrame:
         rows = some.select(F.col(doc_id).alias("id"), F.coalesce(terms(text), F.array().cast("array<string>")).alias("t"))
         return rows.select("id", F.size("t").alias("dl"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(q)))
 
-    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
+    split = docs.select(F.coalesce(terms(text), F.array().cast("array<string>")).alias("t"))
+    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *(F.count_if(F.array_contains("t", w)).alias(f"df{i}") for i, w in enumerate(q)))
     # a filter on the text, not on the counts: that one would be pushed below them and repeat them
     part = r"[\p{L}\p{M}\p{N}]"
-    hits = docs.where(F.lower(text).rlike(f"(?<!{part})(?:{'|'.join(q)})(?!{part})"))
+    letters = reduce(Column.__or__, (F.lower(text).contains(w) for w in q))
+    hits = docs.where(letters & F.lower(text).rlike(f"(?<!{part})(?:{'|'.join(q)})(?!{part})"))
     scored = counted(hits).crossJoin(F.broadcast(stats))  # one row of totals
     parts = []
     for i in range(len(q)):
