@@ -4,7 +4,8 @@ Centroids fitted on a bounded sample divide the space into cells of some thousan
 the other cells whose centroids are about as near, so that a vector's neighbours are members of its home. In a cell, rotated vectors lie in blocks of
 columns and in short lists. A list of queries takes the lists around it whole, which gives each query a good k-th best distance; of all other members it
 reads the first block of columns only and abandons those whose distance, estimated from it, is above that one at the confidence of a test; the
-survivors go on block by block. What remains is compared exactly in double precision. Vectors of one direction, whatever their lengths, are a class: all of it
+survivors go on block by block. Where a few queries of the list show that many would survive the first block, one product of all columns, which abandons
+nothing, costs less than going on pair by pair, and takes its place. What remains is compared exactly in double precision. Vectors of one direction, whatever their lengths, are a class: all of it
 is equally similar to each of its members, so beyond the first k + 1 they ask for nothing and are given what the first one found. As candidates of others
 they stay, but for exact copies beyond k + 1, since rounding may tell them apart there; a cell with a crowd of candidates is searched in parts. Centroids have two levels where one would have more than
 ``MAX_CELLS``: those of the second level are fitted and searched by the workers, each within a cell of the first, so neither the driver nor a task holds
@@ -42,6 +43,8 @@ PAIRS = 1_000_000
 MEMBER_BYTES, TASK_BYTES = 450, 48_000_000
 #: Columns of a block; significance of the test that abandons a candidate; members of a list; candidates taken whole, at least.
 COLUMNS, EPSILON, LIST_ROWS, WHOLE = 24, 2.1, 256, 768
+#: Queries of a list that the first block is tried on; the share of members left by it from which on a product of all columns costs less than going on pair by pair.
+SAMPLED, DENSE = 16, 0.025
 
 
 def usable(vec: Column, dims: int) -> Column:
@@ -285,15 +288,29 @@ def _scan_list(r: np.ndarray, columns: list[np.ndarray], left: list[np.ndarray],
         return first
     limit = 2 - 2 * (kth - slack)  # squared distance
     # squared distance on the first columns, as lengths there less twice the product
-    d, part = edges[1], columns[0][q] @ columns[0].T
-    bound = limit * (1 + EPSILON / math.sqrt(d)) ** 2 * d / dims
-    alive = 2 * part >= ((1 - left[0])[q] - bound)[:, None] + (1 - left[0])[None, :]
-    alive[:, c] = False
-    if without is not None:
-        alive[:, without] = False
+    d, length = edges[1], 1 - left[0]
+    least = length[q] - limit * (1 + EPSILON / math.sqrt(d)) ** 2 * d / dims
+
+    def outside(alive: np.ndarray) -> np.ndarray:
+        alive[:, c] = False
+        if without is not None:
+            alive[:, without] = False
+        return alive
+
+    some = slice(None, None, -(-len(q) // SAMPLED))
+    tried = outside(2 * (columns[0][q[some]] @ columns[0].T) >= least[some, None] + length)
+    if np.count_nonzero(tried) > DENSE * tried.size:
+        # so many go on that all columns of all members at once cost less; nothing is abandoned
+        alive = outside(r[q] @ r.T >= (kth - slack)[:, None])
+        if many and np.count_nonzero(alive) + len(first[0]) > many:
+            return None
+        qi, ci = np.divmod(np.flatnonzero(alive), len(r))
+        return np.concatenate((first[0], q[qi])), np.concatenate((first[1], ci))
+    part = columns[0][q] @ columns[0].T
+    alive = outside(2 * part >= least[:, None] + length)
     if many and np.count_nonzero(alive) > 4 * many:
         return None
-    qi, ci = np.nonzero(alive)
+    qi, ci = np.divmod(np.flatnonzero(alive), len(r))
     dot = part[qi, ci]
     for block, rest, d in zip(columns[1:], left[1:], edges[2:]):
         dot = dot + np.einsum("ij,ij->i", block[q[qi]], block[ci])

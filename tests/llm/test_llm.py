@@ -96,6 +96,29 @@ def test_abandoning_loses_little():
     assert len(set(zip(a.tolist(), b.tolist())) & want) >= 0.99 * len(want)
 
 
+def test_a_cell_without_near_neighbours_is_not_compared_pair_by_pair(monkeypatch):
+    v = np.random.default_rng(6).normal(size=(2400, 96))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    pairs, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda form, a, b: (pairs.append(len(a)), einsum(form, a, b))[1])
+    a, b, _ = vectors.scan(u, np.arange(len(u)), np.ones(len(u), bool), 5)
+    monkeypatch.undo()
+    assert sum(pairs) < 40 * len(u)
+    assert set(zip(a.tolist(), b.tolist())) == brute(dict(enumerate(v)), 5)
+
+
+def test_few_survivors_go_on_block_by_block(monkeypatch):
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(300, 96))
+    v = np.concatenate([c + 0.02 * rng.normal(size=c.shape) for _ in range(8)])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = [None, None]
+    for i, dense in enumerate((1.0, 0.0)):
+        monkeypatch.setattr(vectors, "DENSE", dense)
+        found[i] = {(x, y) for x, y in zip(*(z.tolist() for z in vectors.scan(u, np.arange(len(u)), np.arange(len(u)) % 3 > 0, 5, np.arange(len(u)) % 7 > 0)[:2]))}
+    assert found[0] == found[1] and len(found[0]) == 1600 * 5
+
+
 def test_ranking(spark):
     rows = []
     for i in range(30):
